@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import py_compile
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +29,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, compiled so that workers start fast."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    tmp = tempfile.mkdtemp(prefix="proofline-")  # Spark serves the file from here while the application runs
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    at = Path(tmp, f"{root.name}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            name = f.relative_to(root.parent)
+            code = py_compile.compile(
+                str(f), cfile=f"{tmp}/code.pyc", dfile=str(name),
+                invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH,
+            )
+            z.write(f, name)
+            z.write(code, name.with_suffix(".pyc"))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named test table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
