@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from proofline.llm import validity
+from proofline.llm import contamination, docpairs, validity
 from proofline.session import table
 
 QUERIES = {
     "p1_found": lambda s, d: validity.broken_files(table(s, d, "file_facts")),
     "p1_rates": lambda s, d: validity.broken_rates(table(s, d, "file_facts")),
+    "p2_found": lambda s, d: docpairs.documented_functions(table(s, d, "file_facts")),
+    "p2_pairs": lambda s, d: docpairs.code_doc_pairs(table(s, d, "file_facts")),
+    "p7_found": lambda s, d: contamination.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select(
+        "doc_id", "item_id"
+    ),
+    "p7_items": lambda s, d: contamination.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
 }
 ORACLE: dict[str, str] = {}
