@@ -41,7 +41,7 @@ _MEMO_LIMIT = 200_000
 LOOKALIKES = ("аеорсухіѕјԁһӏАВЕКМНОРСТХοαν", "aeopcyxisjdhlABEKMHOPCTXoav")
 
 _QUOTED = (
-    r"`[^`]+`|“[^”]+”|‘[^’]+’|«[^»]+»|\"[^\"]+\"|(?i:<code>)[^<]+(?i:</code>)|'[A-Za-z_$][\w.$]*'(?!\w)"
+    r"`[^`]+`|“[^”]+”|‘[^’]+’|«[^»]+»|\"[^\"]+\"|'[A-Za-z_$][\w.$]*'(?!\w)"
 )
 _BARE = r"[A-Za-z$][A-Za-z0-9$]*(?:[_.][A-Za-z0-9$]+)+|_+[A-Za-z][A-Za-z0-9_]*|[a-z]+[0-9]*(?:[A-Z][a-z0-9]*)+"
 _LEAD = r"^(?:\s*(?:\([^()\x01]*\)|\[[^\[\]\x01]*\]|[a-z]+\s*:(?!\S)|[a-z]+(?:-[a-z]+)+\s+[-:–]\s))+"
@@ -61,9 +61,10 @@ def statements(findings: DataFrame) -> DataFrame:
     return (
         findings.select("finding_id", "batch_id", "repo_id", "checker", "path", "line", "title")
         .dropna()
+        .withColumn("title", F.regexp_replace("title", r"(?i)(?:`*</?code>`*)+|`{2,}", "`"))
         .withColumn("title", F.translate("title", "   \t", "    "))
         .withColumn("raw", F.when(quoted != "", quoted).otherwise(F.regexp_extract("title", _BARE, 0)))
-        .withColumn("symbol", F.regexp_replace("raw", r"^(?i:<code>)|(?i:</code>)$|^[`“‘«\"']|[`”’»\"']$", ""))
+        .withColumn("symbol", F.regexp_replace("raw", r"^[`“‘«\"'\s]+|[`”’»\"'\s]+$", ""))
         .withColumn("file", same_file(F.col("path")))
         .withColumn(
             "text",
@@ -71,7 +72,7 @@ def statements(findings: DataFrame) -> DataFrame:
         )
         .withColumn("text", F.regexp_replace("text", r"n['’]t\b", " not"))
         .withColumn("text", F.regexp_replace(F.regexp_replace("text", _LEAD, ""), _TRAIL, ""))
-        .withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\x01]+|\b(?:the|a|an)\b", " "))
+        .withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\x01]+|\b(?:the|a|an|such)\b", " "))
         .withColumn("text", F.regexp_replace("text", r"\b(?:has|have) +been\b", "is"))
         .withColumn("text", F.regexp_replace("text", r"\bnot +any\b", "no"))
         .select(
