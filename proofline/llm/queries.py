@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import contamination, docpairs, history, validity
+from proofline.llm import contamination, docpairs, history, prose, validity
 from proofline.session import table
 
 QUERIES = {
@@ -15,5 +15,7 @@ QUERIES = {
         "doc_id", "item_id"
     ),
     "p7_items": lambda s, d: contamination.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p8_found": lambda s, d: prose.not_prose(table(s, d, "documents")).select("doc_id").distinct(),
+    "p8_stats": lambda s, d: prose.document_statistics(table(s, d, "documents")),
 }
 ORACLE: dict[str, str] = {}
