@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from proofline.llm import contamination, docpairs, history, prose, validity
+from pyspark.sql import functions as F
+
+from proofline.llm import contamination, docpairs, handwritten, history, prose, validity
 from proofline.session import table
 
 QUERIES = {
@@ -10,6 +12,9 @@ QUERIES = {
     "p1_rates": lambda s, d: validity.broken_rates(table(s, d, "file_facts")),
     "p2_found": lambda s, d: docpairs.documented_functions(table(s, d, "file_facts")),
     "p2_pairs": lambda s, d: docpairs.code_doc_pairs(table(s, d, "file_facts")),
+    "p4_found": lambda s, d: handwritten.not_handwritten(table(s, d, "file_facts"), table(s, d, "repos")).select("file_id"),
+    "p4_reasons": lambda s, d: handwritten.not_handwritten(table(s, d, "file_facts"), table(s, d, "repos"))
+    .groupBy("reason").agg(F.count("*").alias("files")),
     "p5_found": lambda s, d: history.repeats(table(s, d, "findings")),
     "p7_found": lambda s, d: contamination.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select(
         "doc_id", "item_id"
