@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofline.llm import contamination, docpairs, handwritten, history, prose, validity
+from proofline.llm import contamination, docpairs, handwritten, history, packing, prose, validity
 from proofline.session import table
 
 QUERIES = {
@@ -16,6 +16,10 @@ QUERIES = {
     "p4_reasons": lambda s, d: handwritten.not_handwritten(table(s, d, "file_facts"), table(s, d, "repos"))
     .groupBy("reason").agg(F.count("*").alias("files")),
     "p5_found": lambda s, d: history.repeats(table(s, d, "findings")),
+    "p6_containers": lambda s, d: packing.containers(table(s, d, "documents"), table(s, d, "context_sizes")),
+    "p6_fill": lambda s, d: packing.fill(
+        packing.containers(table(s, d, "documents"), table(s, d, "context_sizes")), table(s, d, "context_sizes")
+    ),
     "p7_found": lambda s, d: contamination.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select(
         "doc_id", "item_id"
     ),
