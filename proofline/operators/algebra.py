@@ -6,6 +6,7 @@ a join key; where that matters the helper's docstring says what becomes of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,7 +90,7 @@ def longest_match(left: DataFrame, pieces: Column, right: DataFrame, key: str, i
 
 def prefixes(path: Column, sep: str = "/") -> Column:
     """All ancestors of a path, shortest first, without the path itself."""
-    parts = F.split(path, sep)
+    parts = F.split(path, re.escape(sep))
     return F.transform(
         F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")),
         lambda n: F.array_join(F.slice(parts, 1, n), sep),
@@ -98,7 +99,7 @@ def prefixes(path: Column, sep: str = "/") -> Column:
 
 def suffixes(path: Column, sep: str = "/") -> Column:
     """All suffixes of a path at separators, the path itself first: turns ``endswith`` into an equality."""
-    parts = F.split(path, sep)
+    parts = F.split(path, re.escape(sep))
     return F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts) - n + 1), sep)
     )
