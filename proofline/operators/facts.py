@@ -7,7 +7,7 @@ memory or on disk) while rules run; each relation is a projection of it and read
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,10 +70,21 @@ class FactBase:
             F.coalesce("repo", F.lit("")).alias("repo"), "path", "text"
         )
         facts = self.files.mapInPandas(_extract, _SCHEMA)
+        self._keep = keep
+        self._kept: dict[str, DataFrame] = {}
         self.facts = facts.persist(StorageLevel.MEMORY_AND_DISK) if keep else facts
 
     def close(self) -> None:
-        self.facts.unpersist()
+        """Frees what the base keeps."""
+        for df in [self.facts, *self._kept.values()]:
+            df.unpersist()
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived relation that several rules read, built once and kept like the facts."""
+        if name not in self._kept:
+            df = build()
+            self._kept[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if self._keep else df
+        return self._kept[name]
 
     def relation(self, name: str, claims: bool = False) -> DataFrame:
         """A relation with the columns repo, path, language and those of the fact. ``claims``: without fixtures."""
@@ -85,7 +96,7 @@ class FactBase:
 
     @functools.cached_property
     def paths(self) -> DataFrame:
-        return self.files.select("repo", "path").distinct()
+        return self.kept("paths", lambda: self.files.select("repo", "path").distinct())
 
     @functools.cached_property
     def tops(self) -> DataFrame:
@@ -95,11 +106,11 @@ class FactBase:
     @functools.cached_property
     def symbols(self) -> DataFrame:
         """(repo, name): every name defined anywhere, imported names of files that do not parse included as unknown."""
-        return self.relation("symbols").select("repo", "name").distinct()
+        return self.kept("symbols", lambda: self.relation("symbols").select("repo", "name").distinct())
 
     @functools.cached_property
     def manifests(self) -> DataFrame:
-        return trees.manifests(self.files)
+        return self.kept("manifests", lambda: trees.manifests(self.files))
 
     @functools.cached_property
     def lines(self) -> DataFrame:

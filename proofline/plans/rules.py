@@ -118,6 +118,10 @@ def stale_file_ref(fb: FactBase) -> DataFrame:
 
 
 def _python_modules(fb: FactBase) -> DataFrame:
+    return fb.kept("python_modules", lambda: _build_python_modules(fb))
+
+
+def _build_python_modules(fb: FactBase) -> DataFrame:
     """(repo, target, module): import paths that the tree itself provides, from its root and from src/ or lib/."""
     py = fb.paths.filter(F.col("path").endswith(".py"))
     stem = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"(^|/)__init__$", "")
@@ -129,6 +133,10 @@ def _python_modules(fb: FactBase) -> DataFrame:
 
 
 def _resolved_imports(fb: FactBase) -> DataFrame:
+    return fb.kept("resolved_imports", lambda: _build_resolved_imports(fb))
+
+
+def _build_resolved_imports(fb: FactBase) -> DataFrame:
     """Python from-imports with ``full``, the absolute module they mean."""
     imp = fb.relation("imports").filter("kind = 'py' and name is not null")
     parts = F.split("path", "/")
@@ -139,6 +147,10 @@ def _resolved_imports(fb: FactBase) -> DataFrame:
 
 
 def provided_names(fb: FactBase, modules: DataFrame) -> DataFrame:
+    return fb.kept("provided_names", lambda: _build_provided_names(fb, modules))
+
+
+def _build_provided_names(fb: FactBase, modules: DataFrame) -> DataFrame:
     """(repo, target, name): names a module provides, its star imports followed two steps."""
     own = fb.relation("symbols").filter("language = 'python'").select("repo", F.col("path").alias("target"), "name")
     imported = fb.relation("imports").filter("kind = 'py'").select("repo", F.col("path").alias("target"), F.col("alias").alias("name"))
@@ -222,6 +234,10 @@ def _normal(path: Column) -> Column:
 
 
 def _js_targets(fb: FactBase) -> DataFrame:
+    return fb.kept("js_targets", lambda: _build_js_targets(fb))
+
+
+def _build_js_targets(fb: FactBase) -> DataFrame:
     """JavaScript imports with ``target``, the file they mean (null if none), and ``kind_of``: relative or alias."""
     imp = fb.relation("imports").filter("kind = 'js' and not guarded").withColumn("spec", F.regexp_replace("module", r"[?#].*$", ""))
     rel = imp.filter(F.col("spec").rlike(r"^\.\.?(/|$)")).select(
@@ -526,8 +542,8 @@ def _third_party(fb: FactBase) -> DataFrame:
     js = imp.filter("kind = 'js'").filter(~F.col("module").rlike(r"^[./#~@]?/|^\.|^#|^node:|^[a-z]+:")).withColumn(
         "top", F.regexp_extract("module", r"^(@[^/]+/[^/]+|[^/@][^/]*)", 1)
     ).filter(~F.col("top").isin(*sorted(W.NODE_BUILTINS)) & (F.col("top") != ""))
-    zones = fb.manifests.filter("fact = 'alias'").select("repo", F.regexp_replace("name", r"/?\*$", "").alias("top"))
-    js = _anti(js, zones, ["repo", "top"]).withColumn("dist", F.col("top"))
+    zones = fb.manifests.filter("fact = 'alias'").select("repo", F.regexp_replace("name", r"\*$", "").alias("prefix")).distinct()
+    js = js.join(zones, (js.repo == zones.repo) & js.module.startswith(zones.prefix), "left_anti").withColumn("dist", F.col("top"))
     names = fb.manifests.filter("fact = 'own'").select("repo", F.col("name").alias("top"))
     both = py.unionByName(js).select("repo", "path", "lineno", "top", "dist", "kind")
     return _anti(both, names, ["repo", "top"])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
 import re
 import tomllib
 from collections.abc import Iterator
@@ -20,7 +21,6 @@ from proofline.functions import words as W
 
 #: Line ends as Python's ``splitlines`` knows them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-_TREE_GLOB_SUFFIXES = tuple(W.CODE_SUFFIXES)
 
 
 def _segments(path: Column) -> Column:
@@ -53,16 +53,37 @@ def kept(files: DataFrame, ignore_dirs: frozenset[str] = W.IGNORED_DIRS, ignore_
 
 
 def read_tree(spark: SparkSession, root: str, repo: str = "", ignore_dirs: frozenset[str] = W.IGNORED_DIRS) -> DataFrame:
-    """A source tree, read by the executors; decode errors are dropped."""
-    base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    named = raw.select(
-        F.lit(repo).alias("repo"), F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").alias("full"), "content", "length", "modificationTime"
-    )
-    rel = F.expr(f"substring(full, {len(base) + 1})")
-    return kept(
-        named.select("repo", rel.alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha")), ignore_dirs
-    ).filter(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*_TREE_GLOB_SUFFIXES))
+    """A source tree: the driver walks the directories, leaving ignored ones out, and the executors read the files.
+
+    The file readers of Spark skip names that begin with ``_`` or ``.``, which would lose every ``__init__.py``;
+    the walk therefore lists names itself. ``root`` is a path or URI that all executors reach. Bytes that are no
+    UTF-8 are dropped.
+    """
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    hard = ignore_dirs - {"build", "dist", "out", "coverage"}
+    names, todo = [], [base]
+    while todo:
+        for info in where.get_file_info(fs.FileSelector(todo.pop())):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in hard:
+                    todo.append(info.path)
+            elif info.extension.lower() in W.CODE_SUFFIXES or info.base_name == ".gitignore":
+                names.append((info.path[len(base) :].lstrip("/"),))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, at = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+        for f in frames:
+            texts = []
+            for p in f["path"]:
+                with here.open_input_stream(f"{at}/{p}") as stream:
+                    texts.append(stream.read().decode("utf-8", "ignore"))
+            yield pd.DataFrame({"repo": repo, "path": f["path"], "text": texts})
+
+    listed = spark.createDataFrame(names, "path string")
+    parts = max(1, min(len(names) // 200 + 1, 10_000))
+    return kept(listed.repartition(parts).mapInPandas(read, "repo string, path string, text string"), ignore_dirs)
 
 
 def from_file_facts(file_facts: DataFrame) -> DataFrame:
