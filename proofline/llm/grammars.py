@@ -124,7 +124,7 @@ class JavaScript(Grammar):
     _SOFT_JS, _SOFT_TS = set("xaosgmq"), set("xaosgmqJjnBPRLMKUVHGQ")
     _DROP = re.compile(
         r"(?<=[{(\[,;:=→.?+\-*%!~&|…äFCENtieEdTyXluAkSWfw@])\n+"
-        r"|\n+(?=[)\]},;:=?.*%&|→ä]|[lecyE](?![:=(]))|(?<=\))\n+(?=\{)|\A\n+|\n+\Z"
+        r"|\n+(?=[)\]},;:=?.*%&|→ä]|[lE](?![:=(]))|(?<=\))\n+(?=\{)|\A\n+|\n+\Z"
     )
 
     def __init__(self, types: bool):
@@ -183,10 +183,8 @@ class JavaScript(Grammar):
         nxt = self.at(s, i + 1)
         if c == ";":
             return i + 1
-        if self.is_group(c, "{", self.BLOCK):
-            after = self.at(s, i + 1)
-            if not after or after not in ".,=?":
-                return i + 1
+        if 0 <= ord(c) - _BASE["{"] < 256:  # no expression statement begins with a brace
+            return self.need(s, i, "{", self.BLOCK)
         if c == "v":
             if self.types and nxt == "n":
                 return self._enum(s, i + 2)

@@ -13,8 +13,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-#: Lexer states at a line end: normal, block comment, template or raw string, the two triple quotes.
-NORMAL, COMMENT, TEMPLATE, TRIPLE_S, TRIPLE_D = "N", "C", "T", "s", "d"
+#: Lexer states at a line end: normal, block comment, template or raw string, the two triple quotes, and a
+#: preprocessor line that goes on. (A quoted string continued over a line end is only followed within a chunk.)
+NORMAL, COMMENT, TEMPLATE, TRIPLE_S, TRIPLE_D, DIRECTIVE = "N", "C", "T", "s", "d", "P"
 _CLOSERS = {COMMENT: "*/", TEMPLATE: "`", TRIPLE_S: "'''", TRIPLE_D: '"""'}
 #: Characters for what cannot be a token, and for an unterminated string.
 BAD = "\x00"
@@ -204,11 +205,14 @@ def open_state(language: str, token: str) -> str:
         return NORMAL
     if token.startswith("/*") and not (len(token) >= 4 and token.endswith("*/")):
         return COMMENT
+    if language == "c" and token[0] == "#" and token.endswith(("\\\n", "\\\r\n")):
+        return DIRECTIVE
     if language != "c" and token[0] == "`" and not (len(token) >= 2 and token[-1] == "`"):
         return TEMPLATE
     return NORMAL
 
 
+_REST_OF_DIRECTIVE = re.compile(r"(?:[^\n\\]|\\[\s\S])*")
 _PAIRS = re.compile(r"\(\)|\[\]|\{\}")
 _NO_BRACKET = re.compile(r"[^()\[\]{}]+")
 
@@ -233,13 +237,18 @@ class ChunkSummary:
 def states_of(language: str) -> tuple[str, ...]:
     if language == "python":
         return (NORMAL, TRIPLE_S, TRIPLE_D)
-    return (NORMAL, COMMENT) if language == "c" else (NORMAL, COMMENT, TEMPLATE)
+    return (NORMAL, COMMENT, DIRECTIVE) if language == "c" else (NORMAL, COMMENT, TEMPLATE)
 
 
 def lex_from(language: str, text: str, state: str) -> tuple[str, str, str]:
     """Exit state, bracket summary and code of a chunk entered in ``state``."""
     whole, lead = text, ""
-    if state != NORMAL:
+    if state == DIRECTIVE:
+        rest = _REST_OF_DIRECTIVE.match(text)
+        if rest.end() == len(text) and text.endswith(("\\\n", "\\\r\n")):
+            return DIRECTIVE, "", ""
+        text = text[rest.end():]
+    elif state != NORMAL:
         closer = _CLOSERS[state]
         at = text.find(closer)
         while at >= 0 and state != COMMENT and language != "go" and (at - len(text[:at].rstrip("\\"))) % 2:
@@ -250,7 +259,7 @@ def lex_from(language: str, text: str, state: str) -> tuple[str, str, str]:
         lead = "" if state == COMMENT else '"' if language == "go" else "`"
     tokens = TOKENS[language].findall(text)
     exit_state = open_state(language, tokens[-1]) if tokens else NORMAL
-    if exit_state != NORMAL:
+    if exit_state not in (NORMAL, DIRECTIVE):
         tokens.pop()
     code = lead + encode(language, tokens)
     return exit_state, bracket_summary(code), whole if language == "python" else code
