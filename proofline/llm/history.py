@@ -3,11 +3,12 @@
 A finding repeats an accepted one if repository, checker, file and symbol are equal, the lines differ by at most
 ``MAX_LINES`` and the titles, without the symbol, say the same.
 
-Method: a segment index for edit distance. A text of length n is cut into ``n // 4 + 1`` segments, stored by
-length, position and line block; a text within a quarter of its length in edits must hold one of them unharmed,
-so a newcomer probes with the substrings that can be such a segment, and what it meets is verified by a bounded
-edit distance. As n // 4 + 1 segments also outnumber the edits allowed in any head of the text, a text that lost
-its end is met as well. An accepted finding appends its segments.
+Method: a segment index for edit distance. A text is cut into segments of at most two characters, stored by
+length, position and line block. At most a quarter of the shorter text's characters may be edited, so that even
+the head that a shortened text shares with it has more segments than edits: one of them is unharmed, and has
+been shifted by no more than its number. A newcomer probes with the substrings that can be such a segment, and
+what it meets is verified by a bounded edit distance. Texts below ``SHORT`` characters are compared directly. An
+accepted finding appends its segments.
 
 Only groups of equal repository, checker, file and symbol with two members or more are looked at. Copies that
 agree in line and text are one class, built before the shuffle, so that a hot group shrinks to its distinct
@@ -23,6 +24,7 @@ count once. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +36,8 @@ MAX_LINES = 5
 CHARS_PER_EDIT = 4
 #: The shorter text must cover this share of the longer one; less is no lost end but another statement.
 MIN_COVER = 0.4
+#: Below this length a head may have no segment to spare.
+SHORT = 12
 _BLOCK = MAX_LINES + 1
 _MEMO_LIMIT = 200_000
 
@@ -93,7 +97,7 @@ def edits_within(a: str, b: str, limit: int) -> bool:
         return True
     n, m = len(a), min(len(b), len(a) + limit)
     far = limit + 1
-    before, prev = None, [min(j, far) for j in range(m + 1)]
+    prev = [min(j, far) for j in range(m + 1)]
     for i in range(1, n + 1):
         low, high = max(1, i - limit), min(m, i + limit)
         cur = [far] * (m + 1)
@@ -102,16 +106,13 @@ def edits_within(a: str, b: str, limit: int) -> bool:
         least = cur[0]
         ca = a[i - 1]
         for j in range(low, high + 1):
-            cb = b[j - 1]
-            v = prev[j - 1] if ca == cb else 1 + min(prev[j - 1], prev[j], cur[j - 1])
-            if before is not None and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                v = min(v, before[j - 2] + 1)  # letters exchanged
+            v = prev[j - 1] if ca == b[j - 1] else 1 + min(prev[j - 1], prev[j], cur[j - 1])
             cur[j] = v
             if v < least:
                 least = v
         if least > limit:
             return False
-        before, prev = prev, cur
+        prev = cur
     return min(prev) <= limit
 
 
@@ -142,13 +143,15 @@ class SegmentIndex:
         self._same = same
         self._exact: dict[tuple[int, str], list[int]] = {}
         self._by_segment: dict[tuple[int, int, int, str], list[int]] = {}
+        self._short: dict[int, list[int]] = {}
         self._lengths: dict[int, set[int]] = {}
         self.entries: list[tuple[int, str, object]] = []
 
     @staticmethod
+    @functools.lru_cache(maxsize=4096)
     def segments(n: int) -> list[tuple[int, int]]:
         """(start, length) of the segments of a text of length n."""
-        k = n // CHARS_PER_EDIT + 1
+        k = (n + 1) // 2
         cuts = [n * i // k for i in range(k + 1)]
         return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -156,6 +159,9 @@ class SegmentIndex:
         at = len(self.entries)
         self.entries.append((line, text, value))
         block = line // _BLOCK
+        if len(text) < SHORT:
+            self._short.setdefault(block, []).append(at)
+            return
         self._lengths.setdefault(block, set()).add(len(text))
         self._exact.setdefault((block, text), []).append(at)
         for i, (start, size) in enumerate(self.segments(len(text))):
@@ -166,15 +172,22 @@ class SegmentIndex:
         block = line // _BLOCK
         met: set[int] = set()
         for b in (block - 1, block, block + 1):
+            met.update(self._short.get(b, ()))
             lengths = self._lengths.get(b)
             if not lengths:
                 continue
             met.update(self._exact.get((b, text), ()))
             for n in lengths:
+                if min(n, len(text)) < MIN_COVER * max(n, len(text)):
+                    continue
+                edits = min(n, len(text)) // CHARS_PER_EDIT
                 for i, (start, size) in enumerate(self.segments(n)):
-                    # the first unharmed segment has at most one edit in each one before it
-                    for p in range(max(0, start - i), min(len(text) - size, start + i) + 1):
-                        met.update(self._by_segment.get((b, n, i, text[p : p + size]), ()))
+                    # some unharmed segment has no more edits before it than segments
+                    shift = min(i, edits)
+                    for p in range(max(0, start - shift), min(len(text) - size, start + shift) + 1):
+                        got = self._by_segment.get((b, n, i, text[p : p + size]))
+                        if got:
+                            met.update(got)
         out = []
         for at in sorted(met):
             other, words, value = self.entries[at]
