@@ -21,7 +21,7 @@ from proofline.functions import words as W
 from proofline.operators import algebra as A
 from proofline.operators import post
 from proofline.operators.facts import FIXTURE, FactBase
-from proofline.sources.trees import gitignored
+from proofline.sources.trees import gitignored, inherited_aliases
 
 COLUMNS = ["repo", *post.FINDING_SCHEMA.names]
 
@@ -243,8 +243,8 @@ def _build_js_targets(fb: FactBase) -> DataFrame:
     rel = imp.filter(F.col("spec").rlike(r"^\.\.?(/|$)")).select(
         "*", _normal(F.concat_ws("/", _dir(F.col("path")), F.col("spec"))).alias("base"), F.lit("relative").alias("kind_of")
     ).filter("base is not null")
-    zones = fb.manifests.filter("fact = 'alias'").select(
-        "repo", F.col("dir").alias("zone"), F.regexp_replace("name", r"\*$", "").alias("prefix"), F.regexp_replace("value", r"\*$", "").alias("repl"), F.col("name").endswith("*").alias("open")
+    zones = inherited_aliases(fb.manifests).select(
+        "repo", "zone", F.regexp_replace("name", r"\*$", "").alias("prefix"), F.regexp_replace("value", r"\*$", "").alias("repl"), F.col("name").endswith("*").alias("open")
     )
     bare = imp.filter(~F.col("spec").rlike(r"^\.\.?(/|$)|^/|^node:|^#"))
     alias = bare.join(zones, "repo").filter(
@@ -271,6 +271,10 @@ def stale_import_js(fb: FactBase) -> DataFrame:
     asset = F.col("spec").rlike(r"\.(?:css|scss|less|svg|png|jpe?g|gif|webp|woff2?|html|md|txt|wasm|graphql|ya?ml)$")
     hidden = F.col("base").rlike(r"(?:^|/)(?:" + "|".join(sorted(d.replace(".", r"\.") for d in W.IGNORED_DIRS)) + r")(?:/|$)")
     missing = imp.filter(F.col("target").isNull() & ~asset & ~hidden)
+    excluded = fb.manifests.filter("fact = 'exclude' and name <> ''").select(
+        "repo", F.concat_ws("/", F.nullif("dir", F.lit("")), F.col("name"), F.lit("")).alias("below")
+    ).distinct()
+    missing = missing.join(excluded, (missing.repo == excluded.repo) & missing.path.startswith(excluded.below), "left_anti")
     missing = A.first_per(missing.select("repo", "path", "lineno", "module", "kind_of", "base"), ["repo", "path", "lineno", "module"], ["kind_of"])
 
     missing = _anti(missing, gitignored(missing.select("repo", F.col("base").alias("path")), fb.manifests).withColumnRenamed("path", "base"), ["repo", "base"])

@@ -228,8 +228,12 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
         if isinstance(doc.get("main"), str):
             rows.append((where, "entry_js", "main", doc["main"], line_of(doc["main"])))
     elif re.fullmatch(r"tsconfig[\w.-]*\.json", name):
-        options = _json(text).get("compilerOptions") or {}
+        doc = _json(text)
+        options = doc.get("compilerOptions") or {}
         base = options.get("baseUrl") or "."
+        if isinstance(doc.get("extends"), str):
+            rows.append((where, "extends", doc["extends"], None, 1))
+        rows += [(where, "exclude", re.sub(r"^\./|/?\*+.*$|/$", "", x), None, 1) for x in doc.get("exclude") or [] if isinstance(x, str)]
         for prefix, repl in (options.get("paths") or {}).items() if isinstance(options.get("paths"), dict) else ():
             rows += [(where, "alias", prefix, re.sub(r"^\./", "", f"{base}/{r}".replace("./", "")), k) for k, r in enumerate(repl) if isinstance(r, str)]
     elif re.fullmatch(r"(?:openapi|swagger)\.json", name):
@@ -261,6 +265,31 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", "text").filter(F.col("path").rlike(_MANIFESTS) & F.col("text").isNotNull()).mapInPandas(read, _ROWS)
 
 
+def inherited_aliases(rows: DataFrame, depth: int = 3) -> DataFrame:
+    """(repo, zone, name, value): aliases of each TypeScript configuration, its own or else the nearest ancestor's.
+
+    ``extends`` is followed for ``depth`` steps, so that a cycle ends; a child's ``paths`` replace its parent's.
+    """
+    conf = rows.filter(F.col("path").rlike(r"tsconfig[\w.-]*\.json$"))
+    own = rows.filter("fact = 'alias'").select("repo", "path", "dir", "name", "value")
+    up = conf.filter("fact = 'extends' and name like '.%'").select(
+        "repo", "path", "dir", F.regexp_replace(F.concat_ws("/", F.nullif("dir", F.lit("")), F.when(F.col("name").endswith(".json"), F.col("name")).otherwise(F.concat("name", F.lit(".json")))), r"(^|/)\./", "$1").alias("parent")
+    )
+    for _ in range(2):  # fold "a/../"
+        up = up.withColumn("parent", F.regexp_replace("parent", r"(^|/)(?!\.\.)[^/]+/\.\./", "$1"))
+    out, chain = own.withColumn("step", F.lit(0)), up
+    for step in range(1, depth + 1):
+        got = chain.select("repo", "path", "dir", F.col("parent").alias("_p")).join(
+            own.select("repo", F.col("path").alias("_p"), "name", "value"), ["repo", "_p"]
+        )
+        out = out.unionByName(got.select("repo", "path", "dir", "name", "value").withColumn("step", F.lit(step)))
+        chain = chain.join(up.select("repo", F.col("path").alias("parent"), F.col("parent").alias("next")), ["repo", "parent"]).select(
+            "repo", "path", "dir", F.col("next").alias("parent")
+        )
+    nearest = Window.partitionBy("repo", "path").orderBy("step")
+    return out.withColumn("_r", F.dense_rank().over(nearest)).filter("_r = 1").select("repo", F.col("dir").alias("zone"), "name", "value").distinct()
+
+
 def ignore_pattern(base: str, pattern: str) -> tuple[str, bool]:
     """(regular expression over repository paths, negated) of a line of an ignore file."""
     negated = pattern.startswith("!")
