@@ -23,6 +23,7 @@ class Engine:
         aliases = [("", "", "alias", k, r, n, "") for k, v in self.config.path_aliases.items() for n, r in enumerate(v)]
         self.files = trees.kept(files, self.config.ignore_dirs, self.config.ignore_files)
         self.base = FactBase(self.files)
+        self._found: DataFrame | None = None
         if aliases:
             extra = self.spark.createDataFrame(aliases, "repo string, dir string, fact string, name string, value string, line int, path string")
             self.base.manifests = self.base.manifests.unionByName(extra)
@@ -36,7 +37,10 @@ class Engine:
         registry: DataFrame | None = None, spec: DataFrame | None = None, routes: DataFrame | None = None,
     ) -> DataFrame:
         """Findings after suppression, scope and baseline."""
-        found = R.scan(self.base, list(self.config.rules), registry=registry, spec=spec, routes=routes)
+        if registry is None and spec is None and routes is None:
+            found = self.found()
+        else:
+            found = R.scan(self.base, list(self.config.rules), registry=registry, spec=spec, routes=routes)
         marks = post.markers(self.base.lines)
         out = post.in_scope(post.suppressed(found, marks).filter("not suppressed").drop("suppressed"), scope)
         if baseline is not None:
@@ -44,13 +48,24 @@ class Engine:
             out = out if show_baselined else out.filter("not baselined").drop("baselined", "fingerprint")
         return out
 
+    def found(self) -> DataFrame:
+        """All findings of the configured rules, computed once and kept: findings are few beside the facts."""
+        if self._found is None:
+            self._found = R.scan(self.base, list(self.config.rules)).persist()
+        return self._found
+
+    def close(self) -> None:
+        if self._found is not None:
+            self._found.unpersist()
+        self.base.close()
+
     def gate(self, findings: DataFrame) -> DataFrame:
         return post.gate(findings, self.config.fail_on, self.base.errors())
 
     def changed(self, base_files: DataFrame, diff_lines: DataFrame | None = None) -> DataFrame:
         """Findings that the tree has and ``base_files`` had not, and those on changed lines of a diff."""
         before = FactBase(trees.kept(base_files, self.config.ignore_dirs, self.config.ignore_files))
-        head = R.scan(self.base, list(self.config.rules))
+        head = self.found()
         fresh = post.introduced(head, R.scan(before, list(self.config.rules))).select(*head.columns)
         if diff_lines is None:
             return fresh
