@@ -90,6 +90,7 @@ _LINE_END = re.compile(r"\r\n|\r|\n")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>")
 _CODE_NAME = re.compile(r"`[^`\n]*`|\b\w+(?:[./]\w+)+(?:\(\))?|\b\w*_\w+(?:\([^()\n]*\))?|\b[a-z]+[A-Z]\w*(?:\([^()\n]*\))?")
+_CODE_SIGN = re.compile(r"[`_/(]|\w\.\w|[a-z][A-Z]")
 _LEAD = re.compile(r"^(?:[\s>#*+|•·–—=~/;:%!-]|\d+[.)](?=\s)|[^\w\s`\"'“‘«(<\[{¿¡@])+")
 _STRUCTURE = re.compile(
     r"^\s*(?:"
@@ -99,6 +100,8 @@ _STRUCTURE = re.compile(
     r"|[A-Za-z0-9+/=]{24,}$)"
     r"|\|\s*$|\t.*\t|\S {2,}\S.* {2,}\S"
 )
+#: What every structure has one of; looked for first, as most lines of prose have none.
+_STRUCTURE_SIGN = re.compile(r"[{}\[\]()|@=:;$#\t\"]|  |^\s*[-+\d]|^[A-Za-z0-9+/=]{24,}$|Traceback ")
 _SENTENCE_END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _OTHER_SCRIPT = re.compile(r"[Ѐ-ӿͰ-Ͽ֐-ࣿऀ-๿]")
@@ -106,16 +109,18 @@ _OTHER_SCRIPT = re.compile(r"[Ѐ-ӿͰ-Ͽ֐-ࣿऀ-๿]")
 
 def _is_sentence(text: str) -> bool:
     """Whether a stretch of text has a subject and a verb."""
-    if _CJK.search(text):
+    ascii_only = text.isascii()
+    if not ascii_only and _CJK.search(text):
         return len(_CJK.findall(text)) >= 5 and bool(re.search(r"[。！？のはをがです了是的不]|다", text))
-    names = _CODE_NAME.sub(" x ", text)
-    words = _WORD.findall(names)
+    words = _WORD.findall(_CODE_NAME.sub(" x ", text) if _CODE_SIGN.search(text) else text)
     n = len(words)
     if n < 3:
         return False
     low = [w.lower().replace("’", "'") for w in words]
     verbs = foreign = 0
     for i, w in enumerate(low):
+        if verbs and n <= 45 * verbs:
+            return True
         if w in SURE_VERBS:
             verbs += i > 0 or n > 3
             continue
@@ -142,7 +147,7 @@ def _is_sentence(text: str) -> bool:
             x in ("der", "die", "das", "den", "dem", "ein", "eine", "und", "nicht") for x in low
         ):
             verbs += 1
-    if not verbs and _OTHER_SCRIPT.search(text):
+    if not verbs and not ascii_only and _OTHER_SCRIPT.search(text):
         return n >= 4 and text.rstrip()[-1:] in ".?!"
     if not verbs and foreign >= max(2, 0.25 * n) and n >= 5:
         return True
@@ -195,7 +200,9 @@ def sentence_characters(text: str) -> tuple[int, int, int, int]:
                 inside, total = inside + g, total + w
             continue
         lines += 1
-        if _STRUCTURE.search(line) or (body is not line and _STRUCTURE.search(body)):
+        if (_STRUCTURE_SIGN.search(line) and _STRUCTURE.search(line)) or (
+            body is not line and _STRUCTURE_SIGN.search(body) and _STRUCTURE.search(body)
+        ):
             g, w = close()
             inside, total = inside + g, total + w
             total += len(line)
@@ -220,7 +227,7 @@ def statistics(text: str | None) -> dict[str, float]:
     lines = [x.strip() for x in _LINE_END.split(text)]
     full = [x for x in lines if x]
     words = _WORD.findall(text)
-    low = [w.lower() for w in words]
+    low = " ".join(words).lower().split(" ") if words else []
     n, chars = len(words), len(text)
     inside, total, structure, content = sentence_characters(text)
     letters = sum(map(len, words))
