@@ -74,10 +74,9 @@ class Engine:
         return fresh.unionByName(on_lines).distinct()
 
     def cross_index(self, other: Engine) -> DataFrame:
-        """The route rule on this tree with the routes of both."""
-        routes = other.base.manifests.filter("fact = 'route'").select(F.col("name").alias("route"))
-        mine = self.files.select("repo").distinct()
-        return R.stale_api_ref(self.base, _each_repo(mine, routes))
+        """The route rule on this tree with the routes of both; trees belong together by their ``repo``."""
+        routes = other.base.manifests.filter("fact = 'route'").select("repo", F.col("name").alias("route"))
+        return R.stale_api_ref(self.base, routes)
 
     def impact(self, symbol: str) -> DataFrame:
         return R.blast_radius(self.base, symbol)
@@ -95,11 +94,6 @@ class Engine:
         return words.join(wanted, "token", "left_semi").select("repo", "path", "token")
 
 
-def _each_repo(repos: DataFrame, routes: DataFrame) -> DataFrame:
-    """Every route for every repository, as an equi-join on a constant: routes are a short list."""
-    return repos.withColumn("_k", F.lit(1)).join(routes.distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 class FactStore:
     """Facts kept in a folder by (repo, path, content hash): a later base extracts only what changed."""
 
