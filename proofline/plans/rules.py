@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -736,31 +737,89 @@ def scan(
 # Hints
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+#: Bounds of one cell of claims x symbols of a repository: what one task holds at a time.
+CLAIM_CELL, SYMBOL_CELL = 2000, 20000
+
+
+def _bigrams(x: str) -> list[tuple[str, int]]:
+    """Bigrams with a mark at both ends, each with the number of its occurrence, so that shared ones count as a bag."""
+    seen: dict[str, int] = {}
+    out = []
+    for g in map("".join, zip("\x02" + x, x + "\x03")):
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out
+
+
+def close_pairs(claims: list[str], names: list[str], cutoff: float, top: int | None, others: bool, claim_first: bool) -> list[tuple[str, str, float]]:
+    """(claim, name, ratio) of ratio >= cutoff, at most ``top`` a claim; equal ratios by the greater name, as difflib does.
+
+    Lossless: M matched characters of lengths a and b mean a - M deletions, each of which breaks at most two bigrams
+    of the claim, and b - M insertions, each of which breaks at most one. So at least a + 1 - 2(a - M) - (b - M) are
+    shared, and M <= (shared + a + b - 1) / 3. Names are compared in the order of that bound until none can do better.
+    """
+    size = np.array([len(x) for x in names], dtype=np.int64)
+    where: dict[tuple[str, int], list[int]] = {}
+    for k, x in enumerate(names):
+        for g in _bigrams(x):
+            where.setdefault(g, []).append(k)
+    index = {g: np.array(v, dtype=np.int64) for g, v in where.items()}
+    out = []
+    for claim in claims:
+        found = [index[g] for g in _bigrams(claim) if g in index]
+        shared = np.bincount(np.concatenate(found), minlength=len(names)) if found else np.zeros(len(names), dtype=np.int64)
+        both = size + len(claim)
+        most = np.minimum((shared + both - 1) // 3, np.minimum(size, len(claim)))
+        bound = np.where(both > 0, 2.0 * most / np.maximum(both, 1), 1.0)
+        can = np.flatnonzero(bound >= cutoff - 1e-9)
+        best: list[tuple[float, str]] = []
+        match = difflib.SequenceMatcher()
+        (match.set_seq1 if claim_first else match.set_seq2)(claim)
+        put = match.set_seq2 if claim_first else match.set_seq1
+        for k in can[np.argsort(-bound[can], kind="stable")]:
+            if top is not None and len(best) == top and bound[k] < best[-1][0] - 1e-9:
+                break
+            if others and names[k] == claim:
+                continue
+            put(names[k])
+            r = match.ratio()
+            if r >= cutoff:
+                best.append((r, names[k]))
+                if top is not None:
+                    best = sorted(best, reverse=True)[:top]
+        out += [(claim, x, r) for r, x in best]
+    return out
+
+
+def _close(claims: DataFrame, symbols: DataFrame, cutoff: float, top: int | None = None, others: bool = False, claim_first: bool = True) -> DataFrame:
+    """``close_pairs`` of each repository, in cells of bounded size; with ``top``, each cell gives its own best."""
+    c = claims.select("repo", "claim").dropna().distinct()
+    s = symbols.select("repo", "name").dropna().distinct()
+    n = c.groupBy("repo").agg(F.ceil(F.count("*") / CLAIM_CELL).cast("int").alias("cs")).join(
+        s.groupBy("repo").agg(F.ceil(F.count("*") / SYMBOL_CELL).cast("int").alias("ss")), "repo"
+    )
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    c = c.join(n, "repo").select(F.col("repo").alias("of"), "claim", F.expr("cast(pmod(xxhash64(claim), cs) as int)").alias("i"), every("ss").alias("j"))
+    s = s.join(n, "repo").select(F.col("repo").alias("of"), "name", F.expr("cast(pmod(xxhash64(name), ss) as int)").alias("j"), every("cs").alias("i"))
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = close_pairs(a["claim"].tolist(), b["name"].tolist(), cutoff, top, others, claim_first) if len(a) and len(b) else []
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["repo", "claim", "name", "ratio"])
+
+    keys = ["of", "i", "j"]
+    return c.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(compare, "repo string, claim string, name string, ratio double")
 
 
 def similar_symbols(claims: DataFrame, symbols: DataFrame, cutoff: float) -> DataFrame:
-    """(repo, claim, name, ratio): symbols like a claim. Blocked by shared trigrams and length, so no cross join;
-    strings of a ratio of 0.75 or more share a trigram unless they are short, and those share a first letter."""
-    def grams(c: Column) -> Column:
-        low = F.lower(c)
-        tri = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda k: F.substring(low, k, F.lit(3)))
-        return F.array_distinct(F.concat(tri, F.array(F.concat(F.lit("^"), F.substring(low, 1, 1)))))
-
-    c = claims.select("repo", "claim").distinct().withColumn("g", F.explode(grams(F.col("claim"))))
-    s = symbols.select("repo", "name").distinct().withColumn("g", F.explode(grams(F.col("name"))))
-    pairs = c.join(s, ["repo", "g"]).filter(
-        (F.length("name") <= F.length("claim") * (2 - cutoff) / cutoff) & (F.length("claim") <= F.length("name") * (2 - cutoff) / cutoff)
-    ).select("repo", "claim", "name").distinct()
-    return pairs.withColumn("ratio", _ratio("claim", "name")).filter(F.col("ratio") >= cutoff)
-
-
-def did_you_mean(claims: DataFrame, symbols: DataFrame, cutoff: float = 0.8, top: int = 2) -> DataFrame:
-    """The ``top`` most similar symbols of each claim."""
-    w = Window.partitionBy("repo", "claim").orderBy(F.col("ratio").desc(), "name")
-    return similar_symbols(claims, symbols, cutoff).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    """(repo, claim, name, ratio): symbols like a claim, all of them (see ``close_pairs``)."""
+    return _close(claims, symbols, cutoff)
+
+
+def did_you_mean(claims: DataFrame, symbols: DataFrame, cutoff: float = 0.8, top: int = 2, others: bool = False) -> DataFrame:
+    """The ``top`` most similar symbols of each claim; with ``others``, without the claim itself."""
+    w = Window.partitionBy("repo", "claim").orderBy(F.col("ratio").desc(), F.col("name").desc())
+    near = _close(claims, symbols, cutoff, top, others, claim_first=False)
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def rename_candidates(fb: FactBase, findings: DataFrame, cutoff: float = 0.75) -> DataFrame:

@@ -95,11 +95,10 @@ def gate_status(spark, d):
 
 
 def moved_names(spark, d):
-    """Names of functions with a similar spelling that differs in one or two letters in the same repository."""
+    """For each name of a function, the two most similar other names of the same repository, of a ratio of 0.8 or more."""
     f = table(spark, d, "func_info").join(table(spark, d, "file_facts").select("file_id", "repo_id").distinct(), "file_id")
     n = f.select(F.col("repo_id").cast("string").alias("repo"), "name").distinct()
-    odd = n.filter(F.col("name").rlike("_v2$|^x[a-z]+_"))
-    return R.did_you_mean(odd.withColumnRenamed("name", "claim"), n.join(odd, ["repo", "name"], "left_anti"), 0.8, 1).select("repo", "claim", "name")
+    return R.did_you_mean(n.withColumnRenamed("name", "claim"), n, 0.8, 2, others=True).select("repo", "claim", "name")
 
 
 QUERIES = {f"rule_{name.replace('-', '_')}": _rule(name) for name in R.REGISTRY} | {

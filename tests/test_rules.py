@@ -1,7 +1,11 @@
 """The rules on one small tree that holds a true and a silent case of each."""
 
+import difflib
+import random
+
 import pytest
 
+from proofline import queries_rules
 from proofline.operators import post
 from proofline.operators.facts import FactBase
 from proofline.plans import rules as R
@@ -125,6 +129,32 @@ def test_hints(spark):
     assert {(r.claim, r.name) for r in R.did_you_mean(claims, names).collect()} == {("fetch_user", "fetch_users"), ("fetch_user", "fetch_usr")}
 
 
+def test_hints_miss_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abc_") for _ in range(rng.randrange(1, 14))) for _ in range(250)} | {"abcdef", "xabycdzef", "é", ""})
+    for cutoff in (0.75, 0.8):
+        got = {(a, b) for a, b, _ in R.close_pairs(names, names, cutoff, None, False, True)}
+        assert got == {(a, b) for a in names for b in names if difflib.SequenceMatcher(None, a, b).ratio() >= cutoff}
+    monkeypatch.setattr(R, "CLAIM_CELL", 60)
+    monkeypatch.setattr(R, "SYMBOL_CELL", 90)
+    n = spark.createDataFrame([(r, x) for r in ("1", "2") for x in names[:: int(r)]] + [("1", None), (None, "abc")], "repo string, name string")
+    got = sorted((r.repo, r.claim, r.rank, r.name) for r in R.did_you_mean(n.withColumnRenamed("name", "claim"), n, others=True).collect())
+    want = [
+        (r, x, k + 1, y) for r in ("1", "2") for x in names[:: int(r)]
+        for k, y in enumerate(difflib.get_close_matches(x, [z for z in names[:: int(r)] if z != x], 2, 0.8))
+    ]
+    assert got == sorted(want)
+
+
+def test_moved_names(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (1, 7), (2, 8)], "file_id long, repo_id int").write.parquet(str(tmp_path / "file_facts.parquet"))
+    names = [(1, "load_rows"), (1, "load_row"), (1, "load_rowz"), (1, "sort"), (2, "load_rows")]
+    spark.createDataFrame(names, "file_id long, name string").write.parquet(str(tmp_path / "func_info.parquet"))
+    got = {(r.repo, r.claim, r.name) for r in queries_rules.moved_names(spark, str(tmp_path)).collect()}
+    three = ["load_rows", "load_row", "load_rowz"]
+    assert got == {("7", a, b) for a in three for b in three if a != b}
+
+
 def test_empty_and_null_files(spark):
     files = spark.createDataFrame([("", "a.py", None), ("", None, "x"), ("", "b.py", ""), (None, "c.md", "")], "repo string, path string, text string")
     b = FactBase(files)
