@@ -102,8 +102,13 @@ def named(path: str | None) -> str | None:
 
 FEATURES = (
     "compression", "token_entropy", "identifier_length", "short_identifiers", "comment_density", "log_mean_line",
-    "log_longest_line", "literal_lines", "number_tokens", "space_ratio", "symbol_tokens", "log_size",
+    "log_longest_line", "literal_lines", "number_tokens", "space_ratio", "symbol_tokens", "log_size", "code_space_ratio",
+    "line_statements",
 )
+#: Comments that begin a line: what stands above minified code says nothing about its layout.
+_HEAD_COMMENT = re.compile(r"^[ \t]*(?://[^\n]*|/\*[\s\S]*?(?:\*/|\Z))", re.M)
+#: Statements on a line of code, on average, from which code without blanks is minified, however short it is.
+LINE_STATEMENTS = 2
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?m:^\s*#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|elif|pragma|undef)\b)[^\n]*)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)")
 _LITERAL_LINE = re.compile(
@@ -132,6 +137,8 @@ def features(lines: list[str]) -> list[float]:
         len(x) + 1 for x in full
         if x.strip(" \t\r[]{}();,") and (_LITERAL_LINE.match(x) or _BLOB.search(x))
     )
+    code = _HEAD_COMMENT.sub("", text)
+    dense = len("".join(code.split()))
     return [
         len(zlib.compress(raw, 1)) / len(raw),
         -sum(c / n * math.log2(c / n) for c in tokens.values()) / max(1.0, math.log2(n)),
@@ -145,6 +152,8 @@ def features(lines: list[str]) -> list[float]:
         (size - len("".join(text.split()))) / size,
         sum(c for t, c in tokens.items() if not (t[0].isalnum() or t[0] in "_$")) / n,
         math.log1p(size),
+        (len(code.strip()) - dense) / len(code.strip()) if dense else 1.0,
+        (code.count(";") + code.count("{")) / sum(1 for x in code.split("\n") if x.strip()) if dense else 0.0,
     ]
 
 
@@ -204,7 +213,10 @@ def train(files: DataFrame, repos: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def _machine_layout(x: list[float]) -> bool:
     """Whether the layout is that of a minified file or of data."""
     v = dict(zip(FEATURES, x))
-    minified = v["log_longest_line"] > math.log1p(300) and v["short_identifiers"] > 0.4 and v["space_ratio"] < 0.12
+    minified = v["short_identifiers"] > 0.4 and (
+        (v["log_longest_line"] > math.log1p(300) and v["space_ratio"] < 0.12)
+        or (v["line_statements"] >= LINE_STATEMENTS and v["code_space_ratio"] < 0.12)
+    )
     return minified or (v["literal_lines"] >= DATA_SHARE and v["log_size"] > math.log1p(120))
 
 
@@ -221,6 +233,7 @@ def not_handwritten(files: DataFrame, repos: DataFrame, sample_rows: int = SAMPL
     layout = (
         F.when(at["literal_lines"] >= DATA_SHARE, F.lit("data"))
         .when((at["log_longest_line"] > math.log1p(300)) & (at["space_ratio"] < 0.12), F.lit("minified"))
+        .when((at["line_statements"] >= LINE_STATEMENTS) & (at["code_space_ratio"] < 0.12), F.lit("minified"))
     )
     return _once(
         scored.select(

@@ -144,6 +144,20 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(f.limit(0), repos).count() == 0
 
 
+def test_short_minified_files(spark):
+    hand = ["import { open } from './files';", "", "// How this is read.", "export function load(path) {", "  return open(path).read();", "}"]
+    tight = ["i=0;", "j=1;", "k=f(i,j);"]
+    line = lambda n: "!function(e,t){" + "".join(f"for(var w{k}=0;w{k}<t.n;w{k}++){{e.q(w{k})}}" for k in range(40))[: n - 15]
+    licence = ["/*", *(f" * Line {k} of a licence that is longer than the code below it." for k in range(20)), " */"]
+    rows = [(k, 1, f"src/h{k}.js", "javascript", [f"// {k}"] + hand, None) for k in range(60)]
+    rows += [(100 + k, 1, f"src/m{k}.js", "javascript", [line(120 + 20 * k)], None) for k in range(40)]
+    rows += [(200, 1, "src/a.js", "javascript", [line(290)], None), (201, 1, "src/b.js", "javascript", licence + [line(290)], None)]
+    rows += [(300, 1, "src/c.js", "javascript", tight, None), (301, 1, "src/d.js", "javascript", licence + hand, None)]
+    f = spark.createDataFrame(rows, "file_id long, repo_id int, path string, language string, lines array<string>, indexed_at timestamp")
+    got = {r.file_id: r.reason for r in handwritten.not_handwritten(f, spark.createDataFrame([(1, "own")], "repo_id int, name string")).collect()}
+    assert got == dict.fromkeys([*range(100, 140), 200, 201], "minified")
+
+
 def test_prose_statistics_and_holdout(spark):
     assert [t for label, t in prose.HOLDOUT if (prose.statistics(t)["sentence_share"] < 0.5) != bool(label)] == []
     s = prose.statistics("One two, three.\n\n- four")
