@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -73,20 +74,64 @@ _OTHER_PROJECT = re.compile(
 _OWN_PART = re.compile(r"part of the public interface|this (?:project|repository)|another module of", re.I)
 
 
+#: Notices that say so wherever they stand, as their makers write them.
+_ANYWHERE = re.compile(r"^(?:code generated .*\bdo not edit\b|@generated\b|<auto-?generated\b)", re.I)
+_ANYWHERE_HINT = re.compile(r"[Gg][Ee][Nn][Ee][Rr][Aa][Tt][Ee][Dd]")
+
+
+def _comment(line: str, block: bool = False) -> str | None:
+    """The text of a comment that begins the line (``block``: that the line continues), without the code after it."""
+    if block or line.lstrip().startswith("/*"):
+        line = line.split("*/", 1)[0]
+    m = _COMMENT_TEXT.match(line)
+    return m[1] if m else line.strip() if block else None
+
+
+def _head(lines: list[str]) -> Iterator[str]:
+    """Comments before the first code, however many; of a docstring the first line."""
+    end = None
+    for line in lines:
+        x = line.strip()
+        if end:
+            if end == "*/":
+                yield _comment(line, True)
+            if end in x:
+                end = None
+            continue
+        text = _comment(line)
+        if text is None:
+            if x:
+                return
+            continue
+        yield text
+        opened = next((o for o in ("/*", '"""', "'''") if x.startswith(o)), None)
+        if opened:
+            close = "*/" if opened == "/*" else opened
+            if close not in x[len(opened):]:
+                end = close
+            elif x[len(opened):].split(close, 1)[1].strip():
+                return
+
+
+def _says(text: str, own: str | None) -> str | None:
+    if _GENERATED.search(text) and not _NOT_GENERATED.search(text):
+        return "generated"
+    if _OTHER_PROJECT.match(text) and not (own and own.lower() in text.lower()) and not _OWN_PART.search(text):
+        return "vendored"
+    return None
+
+
 def notice(lines: list[str], own: str | None) -> str | None:
-    """``generated`` or ``vendored`` if a comment at the head or the end says so."""
+    """``generated`` or ``vendored`` if a comment before the code, near the head or at the end says so, or one
+    anywhere in unmistakable words."""
     full = [x for x in lines if x.strip()]
-    at = full[:HEAD_LINES] + full[max(HEAD_LINES, len(full) - TAIL_LINES):]
-    for line in at:
-        m = _COMMENT_TEXT.match(line)
-        if not m or len(line) > 300:
-            continue
-        text = m[1]
-        if _GENERATED.search(text) and not _NOT_GENERATED.search(text):
+    near = full[:HEAD_LINES] + full[max(HEAD_LINES, len(full) - TAIL_LINES):]
+    for text in chain((t for x in near if (t := _comment(x)) is not None), _head(full)):
+        if said := _says(text, own):
+            return said
+    for line in full:
+        if _ANYWHERE_HINT.search(line) and _ANYWHERE.match(_comment(line) or ""):
             return "generated"
-        m = _OTHER_PROJECT.match(text)
-        if m and not (own and own.lower() in text.lower()) and not _OWN_PART.search(text):
-            return "vendored"
     return None
 
 

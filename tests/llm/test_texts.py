@@ -158,6 +158,27 @@ def test_short_minified_files(spark):
     assert got == dict.fromkeys([*range(100, 140), 200, 201], "minified")
 
 
+@pytest.mark.parametrize("line", ["// {}", " * {}", "{}"])
+def test_notice_below_a_long_licence(line):
+    licence = [f"Line {k} of the licence of this file." for k in range(40)]
+    block = line != "// {}"
+    head = lambda said: ["/*"] * block + [line.format(x) for x in [*licence, said]] + [" */"] * block + ["int x;"] * 9
+    assert handwritten.notice(head("Code generated by maker. DO NOT EDIT."), "own") == "generated"
+    assert handwritten.notice(head("Imported from the otherlib 6.1.3 release tarball"), "own") == "vendored"
+    assert handwritten.notice(head("Imported from the own 6.1.3 release tarball"), "own") is None
+    assert handwritten.notice(head("One more line."), "own") is None
+
+
+def test_notice_inside_and_on_long_lines():
+    code = [f"x{k} = {k}" for k in range(30)]
+    assert handwritten.notice(code + ["# Code generated by maker. DO NOT EDIT."] + code, None) == "generated"
+    assert handwritten.notice(code + ["# The rows below were generated by hand."] + code, None) is None
+    assert handwritten.notice(code + ['s = "# Code generated by maker. DO NOT EDIT."'] + code, None) is None
+    assert handwritten.notice(["/* Code generated by maker. DO NOT EDIT. */" + "a();" * 200], None) == "generated"
+    assert handwritten.notice(["/* Own. */ f('generated by x. Do not edit.');" + "a();" * 200], None) is None
+    assert handwritten.notice(["// Code generated by maker. DO NOT EDIT. " + "Long. " * 80], None) == "generated"
+
+
 def test_prose_statistics_and_holdout(spark):
     assert [t for label, t in prose.HOLDOUT if (prose.statistics(t)["sentence_share"] < 0.5) != bool(label)] == []
     s = prose.statistics("One two, three.\n\n- four")
