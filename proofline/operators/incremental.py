@@ -2,7 +2,8 @@
 
 Three levels, all built on one idea, the comparison of a *listing* with a *manifest*:
 
-``pending_inputs``      input files whose (path, size, checksum) is not in the manifest.
+``pending_inputs``      input files whose (size, checksum) is not what the last committed batch of their path
+                        knew; files gone from the listing come with null size and checksum.
 ``IncrementalRun``      writes the result of a batch under its batch identifier (overwriting a torn earlier
                         attempt of the same batch) and only then commits the manifest, atomically by rename.
 ``pending_paths``       the same comparison on a change log: paths whose current state differs from the
@@ -70,10 +71,26 @@ def pending_paths(changes: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def latest_entries(manifest: DataFrame) -> DataFrame:
+    """What the last committed batch of each path knew of it; a tombstone has null size and checksum."""
+    order = F.struct(*(F.coalesce(c, F.lit(v)) for c, v in (("seq", 0), ("batch", "")) if c in manifest.columns), F.lit(0).alias("all"))
+    return manifest.groupBy("path").agg(F.max_by(F.struct("size", "checksum"), order).alias("known"))
+
+
 def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Input files (path, size, checksum) that no committed batch has processed with this content."""
-    return listing.join(
-        manifest.select("path", "size", "checksum").distinct(), ["path", "size", "checksum"], "left_anti"
+    """(path, size, checksum) of the inputs that are not as their last committed batch knew them.
+
+    ``listing`` names all inputs: a known path that is absent from it is gone, and pending with null size and
+    checksum until a batch has committed that.
+    """
+    now = F.struct("size", "checksum")
+    return (
+        listing.select("path", now.alias("now"))
+        .join(latest_entries(manifest), "path", "full")
+        .filter(
+            ~F.col("now.size").eqNullSafe(F.col("known.size")) | ~F.col("now.checksum").eqNullSafe(F.col("known.checksum"))
+        )
+        .select("path", "now.size", "now.checksum")
     )
 
 
@@ -92,10 +109,11 @@ class IncrementalRun:
     """Exactly-once batches over a folder: ``out/batch=<id>`` holds results, ``manifest/`` the committed inputs.
 
     A crash before the commit leaves at most a folder of the unfinished batch, which the retry overwrites, as
-    the identifier is a hash of the batch's own inputs; a crash after it leaves nothing to do.
+    the identifier is a hash of the batch's own inputs and of its number among the committed ones, which lets
+    the same inputs come back later; a crash after it leaves nothing to do.
     """
 
-    _SCHEMA = "path string, size long, checksum string, batch string"
+    _SCHEMA = "path string, size long, checksum string, batch string, seq long"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -120,11 +138,16 @@ class IncrementalRun:
         )
 
     def run(self, listing: DataFrame, process, fail_before_commit: bool = False) -> str | None:
-        """Process what is pending; the batch id, or None if nothing is. ``process(paths_df) -> DataFrame``."""
-        pending = pending_inputs(listing.dropDuplicates(["path"]), self.manifest())
+        """Process what is pending; the batch id, or None if nothing is. ``process(paths_df) -> DataFrame``.
+
+        ``listing`` is the whole folder; ``process`` also gets the paths that are gone, with a null checksum.
+        """
+        done = self.manifest()
+        seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
+        pending = pending_inputs(listing.dropDuplicates(["path"]), done)
         ident = pending.agg(
             F.sha2(
-                F.concat_ws("|", F.count("*"), F.sum(F.xxhash64("path", "size", "checksum").cast("decimal(38,0)"))), 256
+                F.concat_ws("|", F.lit(seq), F.count("*"), F.sum(F.xxhash64("path", "size", "checksum").cast("decimal(38,0)"))), 256
             ).alias("id"),
             F.count("*").alias("n"),
         ).first()
@@ -135,7 +158,7 @@ class IncrementalRun:
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
         staged = f"{self.root}/_staged/{uuid.uuid4().hex}"
-        pending.withColumn("batch", F.lit(batch)).select("path", "size", "checksum", "batch").write.parquet(staged)
+        pending.select("path", "size", "checksum", F.lit(batch).alias("batch"), F.lit(seq).cast("long").alias("seq")).write.parquet(staged)
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
         if not self._fs.rename(self._path(staged), self._path(f"{self.root}/manifest/{batch}")):
             raise RuntimeError(f"batch {batch} was committed by another run")
@@ -148,6 +171,6 @@ def manifest_json(manifest: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "IncrementalRun", "last_cutoffs", "list_inputs", "manifest_json", "normal_path", "path_states",
+    "IncrementalRun", "last_cutoffs", "latest_entries", "list_inputs", "manifest_json", "normal_path", "path_states",
     "pending_inputs", "pending_paths",
 ]

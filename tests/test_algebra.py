@@ -123,6 +123,36 @@ def test_incremental_run_survives_a_crash(spark, tmp_path):
     assert run.results().count() == 3 and run.manifest().count() == 3
 
 
+def test_incremental_run_sees_returns_and_deletions(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    run = inc.IncrementalRun(spark, str(tmp_path / "run"))
+    seen = []
+
+    def step():
+        def work(p):
+            seen.append(sorted((r.path.rsplit("/", 1)[1], r.checksum is None) for r in p.collect()))
+            return p.select("path")
+
+        return run.run(inc.list_inputs(spark, str(src)), work)
+
+    (src / "b.txt").write_text("stays")
+    batches = []
+    for text in ("A", "B", "A"):
+        (src / "a.txt").write_text(text)
+        batches += [step()]
+        assert step() is None
+    (src / "a.txt").unlink()
+    batches += [step()]
+    assert step() is None
+    (src / "a.txt").write_text("A")
+    batches += [step()]
+    assert step() is None
+    a = ("a.txt", False)
+    assert seen == [[a, ("b.txt", False)], [a], [a], [("a.txt", True)], [a]]
+    assert len(set(batches)) == 5 and run.results().count() == 6
+
+
 def test_watch_reports_new_findings_once(spark, tmp_path):
     f = lambda rows: spark.createDataFrame([(p, 1, 1, "c", "lie", t, t, "", "", 0.5) for p, t in rows], post.FINDING_SCHEMA)
     seen = NewFindings(spark, str(tmp_path / "s"))
