@@ -81,8 +81,8 @@ class Engine:
     def impact(self, symbol: str) -> DataFrame:
         return R.blast_radius(self.base, symbol)
 
-    def check_text(self, text: str) -> DataFrame:
-        return R.check_text(self.base, text)
+    def check_text(self, text: str, repo: str = "") -> DataFrame:
+        return R.check_text(self.base, text, repo)
 
     def list(self) -> DataFrame:
         return self.files.select("repo", "path").distinct().orderBy("repo", "path")

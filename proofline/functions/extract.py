@@ -27,16 +27,45 @@ _MASK = {
     ),
 }
 _BLANK = re.compile(r"[^\n]")
-_TICK = re.compile(r"`([A-Za-z_][\w.]*(?:\(\))?)`")
-_BARE = re.compile(r"(?<![\w$.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\(\)")
-_DOTTED = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\Z")
-_FILE_REF = re.compile(r"(?<![\w/:])([A-Za-z0-9_][\w.\-]*(?:/[\w.\-]+)+\.(?:" + "|".join(W.FILE_SUFFIXES) + r"))(?!\w)")
+_NAME = re.compile(r"[^\W\d]\w*(?:\.[^\W\d]\w*)*\Z", re.A)
+#: Runs of the characters of names, of paths, and what stands between two ticks: candidates that are then looked at whole.
+_NAME_RUN = re.compile(r"[\w.$#]+(?=\(\))", re.A)
+_PATH_RUN = re.compile(r"[\w./:@~\\-]+", re.A)
+_TICKED = re.compile(r"`([^`\s]+)`")
+_SUFFIXES = frozenset(W.FILE_SUFFIXES)
+
+
+def ticked_names(text: str):
+    """(raw, name, is it a call, start, end) of names between ticks."""
+    for m in _TICKED.finditer(text):
+        raw = m[1].rstrip(".,:;!?")
+        name = raw.removesuffix("()")
+        if _NAME.match(name):
+            yield raw, name, raw != name, m.start(), m.end()
+
+
+def called_names(text: str):
+    """(name, start, end) of names with empty brackets that no tick, member sign or other name precedes."""
+    for m in _NAME_RUN.finditer(text):
+        if _NAME.match(m[0]) and not (m.start() and text[m.start() - 1] in "`#"):
+            yield m[0], m.start(), m.end() + 2
+
+
+def path_names(text: str):
+    """(path, start) of relative paths with a known suffix; addresses and absolute paths are none."""
+    for m in _PATH_RUN.finditer(text):
+        run = m[0].rstrip(".:-")
+        stem, dot, suffix = run.rpartition(".")
+        if "/" in run and dot and suffix in _SUFFIXES and run[0] not in "./:~-@" and ":" not in run and "\\" not in run and "//" not in run and stem[-1] != "/":
+            yield run, m.start()
+
+
 _CODE_LIKE = re.compile(r"^\s*(?:def |class |return\b|if .*:$|for .*:$|import \w|from \w+ import|\w+\(.*\);?$|\w+ = .+|const |let |var |func |[{}]+;?$)")
 _TAG_LINE = re.compile(
     r"^\s*(?::(?:param|arg|argument|type|return|rtype|returns|raises|except|var|ivar|cvar|meta|keyword|key)\b"
     r"|\*?\s*@(?:param|arg|argument|returns?|throws?|exception|type|typedef|property|prop|template|yields?)\b)"
 )
-_DYNAMIC = re.compile(r"\bglobals\(\)\s*(?:\[|\.update)|\bsetattr\(\s*sys\.modules|\bsys\.modules\[__name__\]|\b__getattr__\b|\bvars\(\)\s*\[")
+_DYNAMIC = re.compile(r"\bglobals\(\)\s*(?:\[|\.update)|\bsetattr\(\s*sys\.modules|\bsys\.modules\[[^\]\n]*\][^\n=]*=(?!=)|\bsys\.modules\.(?:update|setdefault)\(|\b__getattr__\b|\bvars\(\)\s*\[")
 _DATA_DUNDERS = tuple(sorted({n for n in dir(object) + dir(type) + dir(list) + dir(dict) + dir(int) if n.startswith("__")} | {
     "__enter__", "__exit__", "__aenter__", "__aexit__", "__aiter__", "__anext__", "__await__", "__call__", "__get__", "__set__",
     "__delete__", "__set_name__", "__post_init__", "__fspath__", "__missing__", "__getattr__", "__all__", "__version__", "__name__",
@@ -51,18 +80,19 @@ class Masked:
         self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
         self.comments: list[tuple[str, int, int]] = []
         self.strings: list[tuple[str, int]] = []
-        out, at = [], 0
+        out, bare, at = [], [], 0
         for m in _MASK[language].finditer(text):
-            out.append(text[at : m.start()])
-            out.append(_BLANK.sub(" ", m[0]))
+            blank = _BLANK.sub(" ", m[0])
+            out += (text[at : m.start()], blank)
+            bare += (text[at : m.start()], blank if m["c"] else m[0])
             at = m.end()
             if m["c"]:
                 first = self.line(m.start())
                 self.comments.append((m[0], first, first + m[0].count("\n")))
             else:
                 self.strings.append((m[0], self.line(m.start())))
-        out.append(text[at:])
-        self.code = "".join(out)
+        self.code = "".join([*out, text[at:]])
+        self.bare = "".join([*bare, text[at:]])  # comments blanked, strings kept
 
     def line(self, pos: int) -> int:
         return bisect.bisect_right(self.starts, pos)
@@ -106,6 +136,8 @@ def _function_of(node: ast.AST, method: bool) -> dict:
     }
 
 
+#: Definitions in a file that does not parse: what they name is not undefined.
+_LOOSE_DEF = re.compile(r"^[ \t]*((?:async[ \t]+def|def|class)[ \t]+(\w+)|(\w+)[ \t]*(?::[^=\n]+)?=(?!=))", re.M)
 _GUARD = re.compile(r"TYPE_CHECKING|version_info|sys\.platform|os\.name")
 
 
@@ -116,6 +148,9 @@ def _python(text: str, out: dict) -> None:
             tree = compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         out["parse_failed"] = True
+        for m in _LOOSE_DEF.finditer(text):
+            top = m.start() == m.start(1)
+            out["symbols"].append({"name": m[2] or m[3], "lineno": text.count("\n", 0, m.start(1)) + 1, "kind": "opaque", "top": top})
         return
 
     def define(name: str, line: int, kind: str, top: bool) -> None:
@@ -176,6 +211,58 @@ _JS_CJS = re.compile(r"\b(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*=")
 _JS_CJS_OBJECT = re.compile(r"\bmodule\.exports\s*=\s*\{([^}]*)\}")
 
 
+def _parameters(code: str, at: int, kind: str) -> tuple[list[str], int]:
+    """Names of the parameters in the first brackets from ``at`` on, and where the brackets end.
+
+    Javascript names come first in a parameter, Go's too (a group shares a type), C's last.
+    """
+    open_ = code.find("(", at)
+    if open_ < 0:
+        return [], at
+    depth, parts, start, k = 0, [], open_ + 1, open_
+    for k in range(open_, len(code)):
+        ch = code[k]
+        if ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth -= 1
+        if (ch == "," and depth == 1) or not depth:
+            parts.append(code[start:k])
+            start = k + 1
+        if not depth:
+            break
+    names = []
+    for part in parts:
+        words = re.findall(r"[A-Za-z_$][\w$]*", part.split("=")[0] if kind == "js" else part)
+        if part.strip()[:1] in ("{", "["):
+            names += words
+        elif words and not (kind == "c" and words == ["void"]):
+            words = [w for w in words if w not in ("public", "private", "protected", "readonly")] or words
+            names.append(words[-1] if kind == "c" else words[0])
+    return names, k
+
+
+def _end_line(mask: "Masked", at: int) -> int | None:
+    """The line on which the block that opens after ``at`` closes."""
+    open_ = mask.code.find("{", at)
+    if open_ < 0:
+        return None
+    depth = 0
+    for m in _BRACE.finditer(mask.code, open_):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return mask.line(m.start())
+    return None
+
+
+_BRACE = re.compile(r"[{}]")
+
+
+def _function_row(mask: "Masked", name: str, at: int, line: int, kind: str, method: bool) -> dict:
+    args, end = _parameters(mask.code, at, kind)
+    return {"name": name, "lineno": line, "end_lineno": _end_line(mask, end), "args": args, "docstring": None, "doc_line": None, "is_method": method}
+
+
 def _names(listing: str) -> list[tuple[str, str]]:
     """(original, local) of a list of names with ``as`` or ``:``."""
     out = []
@@ -198,17 +285,12 @@ def _javascript(text: str, mask: Masked, out: dict) -> None:
             if exported:
                 out["exports"].append("default" if "default" in (m["e"] or "") else name)
             if kind == "function":
-                out["functions"].append({"name": name, "lineno": mask.line(m.end()), "end_lineno": None, "args": [], "docstring": None, "doc_line": None, "is_method": False})
+                out["functions"].append(_function_row(mask, name, m.end(), mask.line(m.end()), "js", False))
     for m in _JS_METHOD.finditer(code):
         if m["n"] not in W.JS_RESERVED:
             out["symbols"].append({"name": m["n"], "lineno": mask.line(m.end("n")), "kind": "method", "top": False})
-            out["functions"].append({"name": m["n"], "lineno": mask.line(m.end("n")), "end_lineno": None, "args": [], "docstring": None, "doc_line": None, "is_method": True})
-    comments_blank = text
-    for c, first, _ in mask.comments:  # module names stand in strings, so only comments are blanked here
-        at = mask.starts[first - 1]
-        pos = comments_blank.find(c, at)
-        comments_blank = comments_blank[:pos] + _BLANK.sub(" ", c) + comments_blank[pos + len(c) :]
-    for m in _JS_IMPORT.finditer(comments_blank):
+            out["functions"].append(_function_row(mask, m["n"], m.end("n"), mask.line(m.end("n")), "js", True))
+    for m in _JS_IMPORT.finditer(mask.bare):
         spec = m["s"] or m["q"]
         line = mask.line(m.end())
         row = {"kind": "js", "module": spec, "level": 0, "guarded": bool(m["q"]) and not m["l"], "lineno": line}
@@ -230,7 +312,7 @@ def _javascript(text: str, mask: Masked, out: dict) -> None:
             out["exports"] += [local for _, local in listed]
     for m in _JS_LIST.finditer(code):
         out["exports"] += [b for _, b in _names(m[1])]
-    for m in _JS_STAR.finditer(comments_blank):
+    for m in _JS_STAR.finditer(mask.bare):
         if m[1]:
             out["exports"].append(m[1])
         else:
@@ -242,26 +324,30 @@ def _javascript(text: str, mask: Masked, out: dict) -> None:
         out["dynamic"] |= "..." in whole[1]
     elif re.search(r"\bmodule\.exports\s*=", code):
         out["dynamic"] = True
+    if re.search(r"^[ \t]*export\s+default\b", code, re.M):
+        out["exports"].append("default")
     out["esm"] = bool(re.search(r"^[ \t]*export\b", code, re.M))
 
 
 def _go(mask: Masked, text: str, out: dict) -> None:
     for m in re.finditer(r"^func\s*(\([^)]*\)\s*)?([A-Za-z_]\w*)", mask.code, re.M):
         out["symbols"].append({"name": m[2], "lineno": mask.line(m.start()), "kind": "method" if m[1] else "function", "top": True})
-        out["functions"].append({"name": m[2], "lineno": mask.line(m.start()), "end_lineno": None, "args": [], "docstring": None, "doc_line": None, "is_method": bool(m[1])})
+        out["functions"].append(_function_row(mask, m[2], m.end(), mask.line(m.start()), "go", bool(m[1])))
     for m in re.finditer(r"^(?:type|var|const)\s+([A-Za-z_]\w*)|^\t([A-Za-z_]\w*)\s*(?:=|\w+\s*=)", mask.code, re.M):
         out["symbols"].append({"name": m[1] or m[2], "lineno": mask.line(m.start()), "kind": "value", "top": True})
-    head = re.search(r"^import\s*\(([^)]*)\)", text, re.M)
-    for spec, line in [(s[0][1:-1], s[1]) for s in mask.strings if s[0][0] == '"']:
-        if head and head.start() <= mask.starts[line - 1] <= head.end() or re.match(rf'import\s+\w*\s*"{re.escape(spec)}"', text[mask.starts[line - 1] :]):
-            out["imports"].append({"kind": "go", "module": spec, "level": 0, "name": None, "alias": spec.rsplit("/", 1)[-1], "guarded": False, "lineno": line})
+    for block in _GO_IMPORT.finditer(mask.bare):
+        for m in re.finditer(r'(?:([\w.]+)[ \t]+)?"([^"\n]+)"', block[0]):
+            out["imports"].append({"kind": "go", "module": m[2], "level": 0, "name": None, "alias": m[1] if m[1] not in (None, "import") else m[2].rsplit("/", 1)[-1], "guarded": False, "lineno": mask.line(block.start() + m.start(2))})
+
+
+_GO_IMPORT = re.compile(r"^import\s*(?:\([^)]*\)|[^\n(]*)", re.M)
 
 
 def _c(mask: Masked, text: str, out: dict) -> None:
     for m in re.finditer(r"^(?!return\b|else\b|typedef\b)[A-Za-z_][\w \t*]*?\b([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(\{|;)", mask.code, re.M):
         out["symbols"].append({"name": m[1], "lineno": mask.line(m.start(1)), "kind": "function" if m[2] == "{" else "prototype", "top": True})
         if m[2] == "{":
-            out["functions"].append({"name": m[1], "lineno": mask.line(m.start(1)), "end_lineno": None, "args": [], "docstring": None, "doc_line": None, "is_method": False})
+            out["functions"].append(_function_row(mask, m[1], m.end(1), mask.line(m.start(1)), "c", False))
     for m in re.finditer(r"^[ \t]*#[ \t]*define[ \t]+(\w+)|^(?:typedef\s+)?(?:struct|union|enum)\s+(\w+)|^[A-Za-z_][\w \t*]*?\b(\w+)\s*(?:=|\[[^\]]*\]|;)|^\}\s*(\w+)\s*;", mask.code, re.M):
         out["symbols"].append({"name": next(g for g in m.groups() if g), "lineno": mask.line(m.start()), "kind": "value", "top": True})
     for m in re.finditer(r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', text, re.M):
@@ -269,8 +355,19 @@ def _c(mask: Masked, text: str, out: dict) -> None:
         out["imports"].append({"kind": "c", "module": m[1], "level": 0, "name": None, "alias": stem, "guarded": "<" in m[0], "lineno": mask.line(m.start())})
 
 
-def _doc_attach(comments: list[dict], functions: list[dict]) -> None:
-    by_end = {c["end_line"]: c for c in comments if c["raw"].startswith("/**")}
+def _go_docs(comments: list[dict], functions: list[dict]) -> None:
+    """The run of comments that ends on the line above a function."""
+    by_end = {c["end_line"]: c for c in comments}
+    for f in functions:
+        run = []
+        while c := by_end.get((run[-1]["line"] if run else f["lineno"]) - 1):
+            run.append(c)
+        if run:
+            f["docstring"], f["doc_line"] = "\n".join(c["text"] for c in reversed(run)), run[-1]["line"]
+
+
+def _doc_attach(comments: list[dict], functions: list[dict], every: bool = False) -> None:
+    by_end = {c["end_line"]: c for c in comments if every or c["raw"].startswith("/**")}
     for f in functions:
         for back in range(1, 5):
             c = by_end.get(f["lineno"] - back)
@@ -299,11 +396,7 @@ def _symbol_claims(language: str, comments: list[dict], functions: list[dict], w
 
     seen: set[tuple] = set()
     for text, block, line, end in texts:
-        for m in _TICK.finditer(text):
-            raw = m[1].rstrip(".,:;!?")
-            call, name = raw.endswith("()"), raw.removesuffix("()")
-            if not _DOTTED.match(name):
-                continue
+        for raw, name, call, start, stop in ticked_names(text):
             root, base = name.split(".")[0], name.split(".")[-1]
             if not judged(base):
                 continue
@@ -312,7 +405,7 @@ def _symbol_claims(language: str, comments: list[dict], functions: list[dict], w
                     continue
                 if not difflib.get_close_matches(base, _DATA_DUNDERS, 1, 0.85):
                     continue
-            window = text[max(0, m.start() - 60) : m.end() + 40]
+            window = text[max(0, start - 60) : stop + 40]
             if W.NEGATED.search(window) or W.HISTORICAL.search(block) or (W.TICKET.search(block) and not W.WORK_ITEM.search(block)):
                 continue
             if known(root, base, 6) or (language == "javascript" and "." in name and root in W.JS_RESERVED):
@@ -320,14 +413,13 @@ def _symbol_claims(language: str, comments: list[dict], functions: list[dict], w
             if (line, name, True) not in seen:
                 seen.add((line, name, True))
                 out.append({"claim": f"`{raw}`", "name": name, "root": root, "base": base, "ticked": True, "line": line, "end_line": end})
-        for m in _BARE.finditer(text):
-            name = m[1]
+        for name, start, stop in called_names(text):
             root, base = name.split(".")[0], name.split(".")[-1]
-            window = text[max(0, m.start() - 60) : m.end() + 40]
+            window = text[max(0, start - 60) : stop + 40]
             if (
                 not judged(base) or f"`{name}()`" in text or f"`{base}()`" in text or not W.REFERENCE_VERB.search(window)
                 or W.TICKET.search(text) or re.match(r"[A-Z]{2,}", base) or W.NEGATED.search(window) or W.HISTORICAL.search(window)
-                or (m.start() and text[m.start() - 1] == "#") or known(root, base, 4)
+                or known(root, base, 4)
                 or (language == "c" and re.fullmatch(r"[A-Z][a-z]+(?:[A-Z]\w*)+", base))
             ):
                 continue
@@ -344,16 +436,15 @@ def _file_claims(comments: list[dict], functions: list[dict], out: list[dict]) -
         text = re.sub(r"https?://\S+", "", text)
         if W.TICKET.search(text) or line in ticketed:
             continue
-        for m in _FILE_REF.finditer(text):
-            ref = m[1]
+        for ref, start in path_names(text):
             parts = [p for p in re.split(r"[/.]", ref.lower()) if p]
             stem = ref.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             if (
                 W.PATH_PLACEHOLDERS.intersection(parts) or "..." in ref or stem in ("x", "y", "z") or any("xxx" in p for p in parts)
                 or any(re.fullmatch(r"my[_-]?(?:pkg|package|module|lib|app|project|file|dir|repo|plugin|script|code)s?", p) for p in parts)
                 or W.IGNORED_DIRS.intersection(ref.split("/")[:-1])
-                or W.ILLUSTRATIVE.search(text[max(0, m.start() - 120) : m.start()])
-                or re.search(r"\b[A-Za-z][\w.-]*'s\s+`?$", text[max(0, m.start() - 60) : m.start()])
+                or W.ILLUSTRATIVE.search(text[max(0, start - 120) : start])
+                or re.search(r"\b[A-Za-z][\w.-]*'s\s+`?$", text[max(0, start - 60) : start])
             ):
                 continue
             out.append({"ref": ref, "line": line, "end_line": end, "kind": kind})
@@ -450,13 +541,54 @@ def fences(lines: list[str]) -> list[dict]:
     return out + ([open_] if open_ else [])
 
 
+_SHELL_TOKEN = re.compile(r"""\s+|\#[^\n]*|\|\||&&|[|;&\n]|(?:\\.|'[^']*'|"(?:[^"\\]|\\.)*"|[^\s|;&'"\\])+|.""", re.S)
+_QUOTES = re.compile(r"""'([^']*)'|"((?:[^"\\]|\\.)*)"|\\(.)""", re.S)
+# Commands that run the command behind them.
+_WRAPPERS = frozenset("command env exec nice nohup npx pipx poetry run sudo time uv uvx".split())
+
+
+def commands_of(line: str) -> list[list[str]]:
+    """Words of the simple commands in a line of shell, without settings of variables and wrapping commands."""
+    out: list[list[str]] = [[]]
+    for m in _SHELL_TOKEN.finditer(line):
+        t = m[0]
+        if t.isspace() and t != "\n":
+            continue
+        if t[0] == "#" and (not m.start() or line[m.start() - 1].isspace()):
+            continue
+        if t in ("||", "&&", "|", ";", "&", "\n"):
+            out.append([])
+        else:
+            out[-1].append(_QUOTES.sub(lambda q: next(g for g in (*q.groups(), "") if g is not None), t))
+    done = []
+    for argv in out:
+        while argv and (re.match(r"[A-Za-z_]\w*=", argv[0]) or argv[0] in _WRAPPERS or (argv[0] in ("python", "python3") and argv[1:2] == ["-m"])):
+            argv = argv[2:] if argv[0].startswith("python") else argv[1:]
+        if argv:
+            done.append(argv)
+    return done
+
+
+def _invoke(out: dict, command: str, line: int, strong: bool) -> None:
+    found = commands_of(command)
+    out["invocations"] += [{"argv": argv, "line": line, "strong": strong} for argv in (found if strong else found[:1])]
+
+
+def _rst(text: str, out: dict) -> None:
+    """Prompts of literal blocks."""
+    for n, x in enumerate(text.split("\n"), 1):
+        m = re.match(r"\s+[$>]\s+(.*)", x)
+        if m:
+            _invoke(out, m[1], n, True)
+
+
 def _markdown(text: str, out: dict) -> None:
     lines = text.split("\n")
     last = len(lines) - (1 if lines and not lines[-1] else 0)
     bound: set[str] = set()
     for f in fences(lines):
         for n, ch, size in f["inner"]:
-            if not (f["info"] and (size > f["len"] or ch != f["ch"])):
+            if not (f["info"] and (f["len"] > size or ch != f["ch"])):
                 out["fence_findings"].append({"line": n, "end_line": n, "opened": f["open"], "kind": "swallowed"})
         if f["close"] is None:
             out["fence_findings"].append({"line": f["open"], "end_line": max(f["open"], last), "opened": f["open"], "kind": "open"})
@@ -468,7 +600,7 @@ def _markdown(text: str, out: dict) -> None:
                 x = x.strip()
                 prompt = re.match(r"[$>]\s+(.*)", x)
                 if prompt or info != "text":
-                    out["invocations"].append({"command": prompt[1] if prompt else x, "line": f["open"] + 1 + k, "strong": True})
+                    _invoke(out, prompt[1] if prompt else x, f["open"] + 1 + k, True)
         lang = _DOC_LANGUAGES.get(info)
         if not lang or any("..." in x or "…" in x or re.match(r"\s*(?:\$|>>>|# -)", x) for x in body):
             continue
@@ -494,8 +626,8 @@ def _markdown(text: str, out: dict) -> None:
                     out["doc_calls"].append({"name": m[1], "base": base, "root": root, "line": f["open"] + 1 + k})
     for n, x in enumerate(lines, 1):
         for m in re.finditer(r"(?<!`)`([a-z][\w.-]+(?: [^`\n]+))`(?!`)", x):
-            if not W.ILLUSTRATIVE.search(x):
-                out["invocations"].append({"command": m[1], "line": n, "strong": False})
+            if not W.ILLUSTRATIVE.search(x) and not (n > 1 and W.ILLUSTRATIVE.search(lines[n - 2])):
+                _invoke(out, m[1], n, False)
 
 
 _FLAG_DEF = re.compile(r"""(?:add_argument|add_option|option|Flag|flag|Bool|String|Int|Duration|Var|Option)\w*\(\s*(?:&?[\w.]+\s*,\s*)?((?:["']-{0,2}[A-Za-z][\w-]*["']\s*,?\s*)+)""")
@@ -504,7 +636,7 @@ _OPAQUE_CLI = re.compile(r"^\s*(?:import typer|from typer|import fire|from fire|
 
 ARRAYS = (
     "comments", "functions", "symbols", "imports", "exports", "export_stars", "symbol_claims", "file_claims", "mock_claims",
-    "contract_claims", "env_drifts", "http_calls", "fence_findings", "doc_calls", "invocations", "flags", "words", "attrs",
+    "contract_claims", "env_drifts", "http_calls", "fence_findings", "doc_calls", "invocations", "flags", "words", "attrs", "quoted",
 )
 
 
@@ -515,7 +647,7 @@ def facts_of(path: str, text: str) -> dict:
     out: dict = {k: [] for k in ARRAYS} | {"language": language, "parse_failed": False, "dynamic": False, "esm": False, "opaque_cli": False, "error": None}
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if language == "markdown":
-        _markdown(text, out)
+        (_rst if suffix == "rst" else _markdown)(text, out)
         return out
     if language == "config":
         return out
@@ -529,9 +661,10 @@ def facts_of(path: str, text: str) -> dict:
         _doc_attach(comments, out["functions"])
     elif language == "go":
         _go(mask, text, out)
+        _go_docs(comments, out["functions"])
     else:
         _c(mask, text, out)
-        _doc_attach(comments, out["functions"])
+        _doc_attach([c for c in comments if c["raw"].startswith("/*")], out["functions"], every=True)
     out["dynamic"] |= bool(_DYNAMIC.search(text)) if language == "python" else False
     counts: dict[str, int] = {}
     for w in re.findall(r"[A-Za-z_$][\w$]*", mask.code):
@@ -544,6 +677,8 @@ def facts_of(path: str, text: str) -> dict:
         out["flags"] += ["--" + f.lstrip("-") for f in re.findall(r"""["'](-{0,2}[A-Za-z][\w-]*)["']""", m[1]) if len(f.lstrip("-")) > 1]
     out["flags"] += [m[1] for m in _QUOTED_FLAG.finditer(text)]
     out["opaque_cli"] = bool(_OPAQUE_CLI.search(text))
+    if language == "python":
+        out["quoted"] = sorted({x.rsplit(".", 1)[-1] for t, _ in mask.strings if len(t) < 200 and _NAME.match(x := t.lstrip("rRbBuUfF").strip("\"'"))})
     out["comments"] = comments
     out["words"] = [{"word": w, "n": n} for w, n in counts.items()]
     out["attrs"] = [{"mod": a, "attr": b} for a, b in sorted(set(re.findall(r"\b([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)", mask.code)))]

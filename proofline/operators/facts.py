@@ -32,10 +32,11 @@ _STRUCTS = {
     "http_calls": "array<struct<method:string,path:string,line:int>>",
     "fence_findings": f"array<struct<opened:int,kind:string,{_CLAIM}>>",
     "doc_calls": "array<struct<name:string,base:string,root:string,line:int>>",
-    "invocations": "array<struct<command:string,line:int,strong:boolean>>",
+    "invocations": "array<struct<argv:array<string>,line:int,strong:boolean>>",
     "flags": "array<string>",
     "words": "array<struct<word:string,n:int>>",
     "attrs": "array<struct<mod:string,attr:string>>",
+    "quoted": "array<string>",
 }
 _SCHEMA = (
     "repo string, path string, language string, parse_failed boolean, dynamic boolean, esm boolean, opaque_cli boolean, error string, "

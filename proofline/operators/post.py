@@ -1,6 +1,8 @@
 """What happens to findings after the rules: dedupe, suppression, scope, baseline, change scoping and the gate.
 
-A finding has the columns path, line, end_line, checker, severity, title, claim, evidence, fix, confidence.
+A finding has the columns path, line, end_line, checker, severity, title, claim, evidence, fix, confidence, and its
+repository in ``repo`` or ``repo_id``; tables without either are of one repository. The repository is part of every
+identity: a marker, a baseline or a change of one repository says nothing about another.
 """
 
 from __future__ import annotations
@@ -32,10 +34,20 @@ def severity_rank(c: Column | str = "severity") -> Column:
     return out
 
 
-def fingerprint() -> Column:
+def repo_of(df: DataFrame) -> Column:
+    """The repository of a row as a string; a null one is the empty string."""
+    name = next((c for c in ("repo", "repo_id") if c in df.columns), None)
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name else F.lit("")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_repo", repo_of(df))
+
+
+def fingerprint(df: DataFrame) -> Column:
     """Stable identity of a finding: independent of its line and evidence. A null checker or path gives null."""
     sep = F.lit("\0")
-    parts = [F.lit(FINGERPRINT_VERSION), F.col("checker"), F.col("path"), F.coalesce("claim", F.lit("")), F.coalesce("title", F.lit(""))]
+    parts = [F.lit(FINGERPRINT_VERSION), repo_of(df), F.col("checker"), F.col("path"), F.coalesce("claim", F.lit("")), F.coalesce("title", F.lit(""))]
     joined = parts[0]
     for p in parts[1:]:
         joined = F.concat(joined, sep, p)
@@ -43,8 +55,10 @@ def fingerprint() -> Column:
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
-    """One finding per (path, line, checker, title); the least claim is kept."""
-    return A.first_per(findings, ["path", "line", "checker", "title"], [F.coalesce("claim", F.lit("")), F.coalesce("evidence", F.lit(""))])
+    """One finding per (repository, path, line, checker, title); the least claim is kept."""
+    return A.first_per(
+        _keyed(findings), ["_repo", "path", "line", "checker", "title"], [F.coalesce("claim", F.lit("")), F.coalesce("evidence", F.lit(""))]
+    ).select(*findings.columns)
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -55,25 +69,27 @@ _MARKER = r"proofline:\s*ignore(?:-line)?\s*[:=]\s*([\w\-, ]+)"
 
 
 def markers(lines: DataFrame) -> DataFrame:
-    """(path, line, rule) of suppression markers in a line table (path, lineno, line)."""
+    """(repo, path, line, rule) of suppression markers in a line table (repo, path, lineno, line)."""
     return (
         lines.filter(F.col("line").contains("proofline:"))
-        .select("path", F.col("lineno").alias("mark_line"), F.explode(F.split(F.regexp_extract("line", _MARKER, 1), r"[,\s]+")).alias("rule"))
+        .select(repo_of(lines).alias("repo"), "path", F.col("lineno").alias("mark_line"), F.explode(F.split(F.regexp_extract("line", _MARKER, 1), r"[,\s]+")).alias("rule"))
         .filter("rule <> ''")
     )
 
 
 def suppressed(findings: DataFrame, marks: DataFrame) -> DataFrame:
     """Findings with ``suppressed``: a marker with their rule or ``all`` stands on one of their lines."""
+    f = _keyed(findings)
+    key = ["_repo", "path", "line", "checker", "title"]
     hit = (
         A.span_join(
-            findings.withColumn("end_line", F.greatest("line", F.coalesce("end_line", "line"))), "line", "end_line",
-            marks, "mark_line", ["path"],
+            f.select(*key, F.greatest("line", F.coalesce("end_line", "line")).alias("_last")), "line", "_last",
+            marks.select(repo_of(marks).alias("_repo"), "path", "mark_line", "rule"), "mark_line", ["_repo", "path"],
         )
         .filter((F.col("rule") == F.col("checker")) | (F.col("rule") == "all"))
-        .select("path", "line", "checker", "title").distinct().withColumn("suppressed", F.lit(True))
+        .select(*key).distinct().withColumn("suppressed", F.lit(True))
     )
-    return findings.join(hit, ["path", "line", "checker", "title"], "left").fillna(False, ["suppressed"])
+    return f.join(hit, key, "left").fillna(False, ["suppressed"]).select(*findings.columns, "suppressed")
 
 
 def unknown_markers(marks: DataFrame, rules: list[str]) -> DataFrame:
@@ -92,11 +108,11 @@ def in_scope(findings: DataFrame, prefix: str | None = None) -> DataFrame:
 def split_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings with ``baselined``: whether their fingerprint is in the baseline."""
     known = baseline.select("fingerprint").distinct().withColumn("baselined", F.lit(True))
-    return findings.withColumn("fingerprint", fingerprint()).join(known, "fingerprint", "left").fillna(False, ["baselined"])
+    return findings.withColumn("fingerprint", fingerprint(findings)).join(known, "fingerprint", "left").fillna(False, ["baselined"])
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
-    return findings.select(fingerprint().alias("fingerprint")).filter("fingerprint is not null").distinct()
+    return findings.select(fingerprint(findings).alias("fingerprint")).filter("fingerprint is not null").distinct()
 
 
 def baseline_change(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -109,19 +125,23 @@ def baseline_change(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def introduced(head: DataFrame, base: DataFrame) -> DataFrame:
     """Findings of the head beyond those of the base, as bags by fingerprint."""
-    h, b = (x.withColumn("fingerprint", fingerprint()) for x in (head, base))
+    h, b = (x.withColumn("fingerprint", fingerprint(x)) for x in (head, base))
     return A.bag_diff(h, b, ["fingerprint"], ["path", "line"]).drop("fingerprint")
 
 
 def changed(findings: DataFrame, hunks: DataFrame, untracked: DataFrame, changed_names: DataFrame) -> DataFrame:
-    """Findings on a changed line, in an untracked file, or about a changed name of three letters or more."""
+    """Findings on a changed line, in an untracked file, or about a changed name of three letters or more, each within
+    its repository."""
+    f = _keyed(findings)
     by_line = A.span_join(
-        findings.withColumn("end_line", F.greatest("line", F.coalesce("end_line", "line"))), "line", "end_line",
-        hunks.select("path", F.col("line").alias("hunk_line")), "hunk_line", ["path"],
+        f.withColumn("_last", F.greatest("line", F.coalesce("end_line", "line"))), "line", "_last",
+        hunks.select(repo_of(hunks).alias("_repo"), "path", F.col("line").alias("hunk_line")), "hunk_line", ["_repo", "path"],
+    ).select(*findings.columns)
+    by_file = f.join(untracked.select(repo_of(untracked).alias("_repo"), "path").distinct(), ["_repo", "path"], "left_semi").select(*findings.columns)
+    tokens = f.withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all("claim", F.lit(r"(\w{3,})"), F.lit(1)))))
+    by_name = tokens.join(
+        changed_names.select(repo_of(changed_names).alias("_repo"), F.col("name").alias("_t")).distinct(), ["_repo", "_t"], "left_semi"
     ).select(*findings.columns)
-    by_file = findings.join(untracked.select("path").distinct(), "path", "left_semi").select(*findings.columns)
-    tokens = findings.withColumn("_t", F.explode(F.regexp_extract_all("claim", F.lit(r"(\w{3,})"), F.lit(1))))
-    by_name = tokens.join(changed_names.select(F.col("name").alias("_t")).distinct(), "_t", "left_semi").select(*findings.columns)
     return by_line.unionByName(by_file).unionByName(by_name).distinct()
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofline.functions import extract
 from proofline.functions import words as W
 from proofline.operators import algebra as A
 from proofline.operators import post
@@ -49,7 +50,8 @@ def _dir(path: Column) -> Column:
 
 
 def _anti(df: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(facts.select(*on).distinct(), on, "left_anti")
+    """Claims without a fact. Facts may repeat: an anti-join asks for one, and a shuffle to drop copies would cost more."""
+    return df.join(facts.select(*on), on, "left_anti")
 
 
 # Symbols
@@ -169,22 +171,34 @@ def _build_provided_names(fb: FactBase, modules: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _quoted(fb: FactBase) -> DataFrame:
+    """(repo, target, name): names that stand in a string of a module, which may provide them when asked."""
+    return fb.kept("quoted", lambda: fb.relation("quoted").select("repo", F.col("path").alias("target"), "name"))
+
+
 def _opaque(fb: FactBase) -> DataFrame:
-    return fb.facts.filter("parse_failed or dynamic").select("repo", F.col("path").alias("target"))
+    return fb.kept("opaque", lambda: fb.facts.filter("parse_failed or dynamic").select("repo", F.col("path").alias("target")))
+
+
+def _python_packages(fb: FactBase) -> DataFrame:
+    """(repo, full): modules and the packages above them."""
+    modules = _python_modules(fb)
+    return fb.kept("python_packages", lambda: modules.select(
+        "repo", F.explode(F.concat(A.prefixes(F.col("module"), "."), F.array("module"))).alias("full")
+    ).distinct())
 
 
 def stale_import_python(fb: FactBase) -> DataFrame:
     """``from M import N`` where M is ours and missing, or lacks N."""
     modules = _python_modules(fb)
     imp = _resolved_imports(fb).filter(~F.col("path").rlike(FIXTURE) & ~F.col("guarded"))
-    packages = modules.select("repo", F.explode(A.prefixes(F.col("module"), ".")).alias("full")).unionByName(
-        modules.select("repo", F.col("module").alias("full"))
-    ).distinct()
+    packages = _python_packages(fb)
     tops = packages.select("repo", F.split("full", r"\.")[0].alias("top")).distinct()
     ours = imp.withColumn("top", F.split("full", r"\.")[0])
     ours = ours.filter("level > 0").unionByName(ours.filter("level = 0").join(tops, ["repo", "top"], "left_semi").select(ours.columns))
     # opaque ancestors may register modules at run time
     opaque_modules = modules.join(_opaque(fb), ["repo", "target"], "left_semi").select("repo", F.col("module").alias("full"))
+    ours = ours.select("repo", "path", "lineno", "full", "module", "level", "name")
     missing = _anti(ours, packages, ["repo", "full"])
     climb = missing.withColumn("anc", F.explode(F.concat(A.prefixes(F.col("full"), "."), F.array("full"))))
     silent = climb.join(opaque_modules.withColumnRenamed("full", "anc"), ["repo", "anc"], "left_semi").select("repo", "path", "full").distinct()
@@ -204,6 +218,7 @@ def stale_import_python(fb: FactBase) -> DataFrame:
     located = ours.filter("name <> '*' and not (name like '\\_\\_%\\_\\_')").join(modules.withColumnRenamed("module", "full"), ["repo", "full"])
     left = _anti(located, provided_names(fb, modules), ["repo", "target", "name"])
     left = _anti(left, _opaque(fb), ["repo", "target"])
+    left = _anti(left, _quoted(fb), ["repo", "target", "name"])
     left = left.withColumn("sub", F.concat_ws(".", "full", "name"))
     left = _anti(left, packages.withColumnRenamed("full", "sub"), ["repo", "sub"])
     left = _anti(left, stubs.withColumnRenamed("full", "sub"), ["repo", "sub"])
@@ -228,12 +243,33 @@ def _normal(path: Column) -> Column:
     folded = F.aggregate(
         F.split(path, "/"), F.array().cast("array<string>"),
         lambda acc, s: F.when((s == ".") | (s == ""), acc)
-        .when((s == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1))
-        .when(s == "..", F.array(F.lit(".."))).otherwise(F.concat(acc, F.array(s))),
+        .when((s == "..") & (F.size(acc) > 0) & (F.get(acc, F.lit(0)) != ".."), F.slice(acc, 1, F.size(acc) - 1))
+        .otherwise(F.concat(acc, F.array(s))),
     )
     return F.when(F.exists(folded, lambda s: s == ".."), F.lit(None)).otherwise(F.array_join(folded, "/"))
 
 
+def _alias_matches(imports: DataFrame, spec: str, zones: DataFrame) -> DataFrame:
+    """Imports with each alias (zone, prefix, repl, open) whose zone holds the file and whose prefix the specifier has.
+
+    Every head of a specifier that ends at a sign, and every ancestor of the file, meets the aliases in an equality:
+    work grows with the length of a specifier and not with the number of aliases. A head may also end anywhere if
+    some alias of the repository ends within a word; such lengths are few and are listed first.
+    """
+    lengths = zones.filter("open").groupBy("repo").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    heads = F.array_distinct(F.transform(F.coalesce("_lengths", F.array().cast("array<int>")), lambda n: F.substring(F.col(spec), F.lit(1), n)))
+    either = F.array_union(
+        F.transform(heads, lambda h: F.struct(h.alias("prefix"), F.lit(True).alias("open"))),
+        F.array(F.struct(F.col(spec).alias("prefix"), F.lit(False).alias("open"))),
+    )
+    tried = imports.join(lengths, "repo", "left").withColumn("_h", F.explode(either)).withColumn(
+        "zone", F.explode(F.concat(A.prefixes(F.col("path")), F.array(F.lit(""))))
+    )
+    return tried.withColumn("prefix", F.col("_h.prefix")).withColumn("open", F.col("_h.open")).drop("_h", "_lengths").join(
+        zones, ["repo", "zone", "prefix", "open"]
+    )
+
+
 def _js_targets(fb: FactBase) -> DataFrame:
     return fb.kept("js_targets", lambda: _build_js_targets(fb))
 
@@ -248,21 +284,28 @@ def _build_js_targets(fb: FactBase) -> DataFrame:
         "repo", "zone", F.regexp_replace("name", r"\*$", "").alias("prefix"), F.regexp_replace("value", r"\*$", "").alias("repl"), F.col("name").endswith("*").alias("open")
     )
     bare = imp.filter(~F.col("spec").rlike(r"^\.\.?(/|$)|^/|^node:|^#"))
-    alias = bare.join(zones, "repo").filter(
-        F.when(F.col("open"), F.expr("startswith(spec, prefix)")).otherwise(F.col("spec") == F.col("prefix"))
-        & ((F.col("zone") == "") | F.expr("startswith(path, concat(zone, '/'))"))
-    )
+    alias = _alias_matches(bare, "spec", zones)
     longest = Window.partitionBy("repo", "path", "lineno", "spec").orderBy(F.length("zone").desc(), F.length("prefix").desc())
     alias = alias.withColumn("_r", F.dense_rank().over(longest)).filter("_r = 1").select(
         *imp.columns, _normal(F.concat_ws("/", F.nullif("zone", F.lit("")), F.concat("repl", F.expr("substring(spec, length(prefix) + 1)")))).alias("base"),
         F.lit("alias").alias("kind_of"),
     ).filter("base is not null")
-    both = rel.unionByName(alias)
+    mains = fb.manifests.filter("fact = 'entry_js' and name = 'main'").select(
+        "repo", F.col("dir").alias("base"), _normal(F.concat_ws("/", F.nullif("dir", F.lit("")), F.col("value"))).alias("entry")
+    ).dropDuplicates(["repo", "base"])
+    both = rel.unionByName(alias).join(mains, ["repo", "base"], "left")
     swapped = F.regexp_replace("base", r"\.(m|c)?jsx?$", "")
     stem_ts = F.when(F.col("base").rlike(r"\.(m|c)?jsx?$"), F.array(*[F.concat(swapped, F.lit(e)) for e in (".ts", ".tsx", ".mts", ".cts", ".d.ts")])).otherwise(F.array().cast("array<string>"))
-    candidates = F.concat(F.array(*[F.concat("base", F.lit(e)) for e in [*_JS_EXT, *_JS_INDEX, "/package.json"]]), stem_ts)
-    tried = both.withColumn("target", F.explode(candidates)).join(fb.paths.withColumnRenamed("path", "target"), ["repo", "target"], "left_semi")
-    hit = tried.groupBy("repo", "path", "lineno", "module", "kind_of").agg(F.min_by("target", F.length("target")).alias("target"))
+    ends = [*_JS_EXT, *_JS_INDEX, "/package.json"]
+    own = F.transform(
+        F.concat(F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat("base", e)), stem_ts), lambda c: F.regexp_replace(c, "^/", "")
+    )
+    through = F.when(F.col("entry").isNotNull(), F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat("entry", e)))
+    candidates = F.concat(F.coalesce(through, F.array().cast("array<string>")), own)
+    tried = both.select("repo", "path", "lineno", "module", "kind_of", F.posexplode(candidates).alias("at", "target")).join(
+        fb.paths.withColumnRenamed("path", "target"), ["repo", "target"], "left_semi"
+    )
+    hit = tried.groupBy("repo", "path", "lineno", "module", "kind_of").agg(F.min_by("target", "at").alias("target"))
     return both.join(hit, ["repo", "path", "lineno", "module", "kind_of"], "left")
 
 
@@ -271,11 +314,16 @@ def stale_import_js(fb: FactBase) -> DataFrame:
     imp = _js_targets(fb).filter(~F.col("path").rlike(FIXTURE))
     asset = F.col("spec").rlike(r"\.(?:css|scss|less|svg|png|jpe?g|gif|webp|woff2?|html|md|txt|wasm|graphql|ya?ml)$")
     hidden = F.col("base").rlike(r"(?:^|/)(?:" + "|".join(sorted(d.replace(".", r"\.") for d in W.IGNORED_DIRS)) + r")(?:/|$)")
-    missing = imp.filter(F.col("target").isNull() & ~asset & ~hidden)
+    missing = imp.filter(F.col("target").isNull() & ~asset & ~hidden & F.col("entry").isNull())
+    swapped_in = fb.manifests.filter("fact = 'browser'").select(
+        "repo", F.regexp_replace(_normal(F.concat_ws("/", F.nullif("dir", F.lit("")), F.col("name"))), r"\.js$", "").alias("stem")
+    )
+    missing = _anti(missing.withColumn("stem", F.regexp_replace("base", r"\.js$", "")), swapped_in, ["repo", "stem"])
     excluded = fb.manifests.filter("fact = 'exclude' and name <> ''").select(
         "repo", F.concat_ws("/", F.nullif("dir", F.lit("")), F.col("name"), F.lit("")).alias("below")
     ).distinct()
-    missing = missing.join(excluded, (missing.repo == excluded.repo) & missing.path.startswith(excluded.below), "left_anti")
+    below = missing.withColumn("below", F.explode(A.prefixes(F.col("path")))).withColumn("below", F.concat("below", F.lit("/")))
+    missing = _anti(missing, below.join(excluded, ["repo", "below"], "left_semi"), ["repo", "path"])
     missing = A.first_per(missing.select("repo", "path", "lineno", "module", "kind_of", "base"), ["repo", "path", "lineno", "module"], ["kind_of"])
 
     missing = _anti(missing, gitignored(missing.select("repo", F.col("base").alias("path")), fb.manifests).withColumnRenamed("path", "base"), ["repo", "base"])
@@ -285,16 +333,19 @@ def stale_import_js(fb: FactBase) -> DataFrame:
         F.when(F.col("kind_of") == "relative", 0.85).otherwise(0.6), "lineno",
     ).withColumn("severity", F.when(F.col("confidence") < 0.7, "drift").otherwise("lie"))
     # names: the export closure over stars, two steps, must be complete
-    exports = fb.relation("exports").select("repo", F.col("path").alias("target"), "name").distinct()
+    exports = fb.kept("exports", lambda: fb.relation("exports").select("repo", F.col("path").alias("target"), "name").distinct())
     star_imports = fb.relation("export_stars").select("repo", "path", F.col("name").alias("module")).distinct()
     resolved = imp.select("repo", "path", "module", "target").distinct()
-    stars = star_imports.join(resolved, ["repo", "path", "module"], "left").select("repo", F.col("path").alias("src"), F.col("target").alias("dst"))
+    stars = fb.kept("js_stars", lambda: star_imports.join(resolved, ["repo", "path", "module"], "left").select(
+        "repo", F.col("path").alias("src"), F.col("target").alias("dst")
+    ))
     complete, step = exports, stars.filter("dst is not null")
     for _ in range(2):
         complete = complete.unionByName(step.join(exports.withColumnRenamed("target", "dst"), ["repo", "dst"]).select("repo", F.col("src").alias("target"), "name"))
         step = step.join(stars.filter("dst is not null").select("repo", F.col("src").alias("dst"), F.col("dst").alias("next")), ["repo", "dst"]).select("repo", "src", F.col("next").alias("dst")).distinct()
     unknown = stars.filter("dst is null").select("repo", F.col("src").alias("target")).unionByName(_opaque(fb)).unionByName(step.select("repo", F.col("src").alias("target")))
     unknown = unknown.unionByName(stars.join(unknown.withColumnRenamed("target", "dst"), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("target"))).distinct()
+    complete, unknown = fb.kept("js_surface", lambda: complete.distinct()), fb.kept("js_unknown", lambda: unknown)
     judged = imp.filter(
         "target is not null and name is not null and name <> '*' and name <> 'default'"
     ).filter(F.col("target").rlike(r"\.(?:[mc]?[jt]sx?)$") & ~F.col("target").endswith(".d.ts"))
@@ -322,15 +373,15 @@ def stale_import(fb: FactBase) -> DataFrame:
 
 # Comments against nearby code
 
-_NUMBER = (
-    r"(?i)\b(timeout|time-out|port|retries|max[_ -]?(?:retries|attempts|connections|size|length|count|workers?|threads?)"
-    r"|min[_ -]?(?:size|length|count)?|limit|workers?|threads?|pool[_ -]?size|batch[_ -]?size|cache[_ -]?size|ttl|expir\w+|delay"
-    r"|interval|threshold)\b\s*(?:is|of|=|:|→|->)?\s*(\d+(?:\.\d+)?)\s*(ms|secs?|seconds?|s|minutes?|mins?|hours?|bytes?|kb|mb|gb|px|%)?"
-)
+_KEYWORD = rf"(?:{'|'.join(W.SETTING_KINDS)})[ _-](?:{'|'.join(W.SETTINGS)})|{'|'.join(W.SETTINGS)}|(?:max|min)(?:imum)?"
+#: A setting, perhaps a linking word, and its number with a unit.
+_NUMBER = rf"(?i)(?<![A-Za-z0-9])({_KEYWORD})(?![A-Za-z])[\s\"'`]*(?:is|are|of|to|at|[=:]|->)?\s*(\d+(?:\.\d+)?)\s*({'|'.join(sorted(W.UNITS, key=len, reverse=True))})?(?![A-Za-z0-9])"
 _BINDING = r"([A-Za-z_][A-Za-z0-9_]*)[\s\"']*(?:==|<=|>=|[=:<>])\s*\(?\s*(\d+(?:\.\d+)?)(?![A-Za-z0-9_.])"
 _COMMENT_LINE = r"^\s*(?:#|//|\*|/\*)"
-_ILLUSTRATIVE = r"(?i)\b(?:for example|for instance|such as|suppose|imagine|example)\b|(?<!\w)(?:e\.g\.|i\.e\.)(?!\w)"
-_TICKET = r"(?i)#\d{1,6}\b|https?://\S+|GH-\d+|[A-Z]{2,}-\d+"
+_ILLUSTRATIVE = "(?i)" + W.ILLUSTRATIVE.pattern
+_TICKET = "(?i)" + W.TICKET.pattern
+_LINE_ANCHOR = r"(?i)(?<![\w-])(?:on |at |in )?(lines? +#?\d+(?: ?(?:-|–|to|and) ?\d+)?)(?!\w)"
+_POSITION = r"(?i)(?<!\w)((?:see|as|shown|described|defined) (?:above|below))(?!\w)"
 
 
 def number_drift(fb: FactBase) -> DataFrame:
@@ -338,7 +389,7 @@ def number_drift(fb: FactBase) -> DataFrame:
     c = fb.relation("comments", claims=True).filter((F.length("text") <= 300) & ~F.col("text").rlike(_ILLUSTRATIVE))
     z = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(k)).alias(n) for k, n in ((1, "word"), (2, "value"), (3, "unit"))])
     claims = c.withColumn("m", F.explode(z)).select(
-        "repo", "path", "line", "end_line", F.split(F.lower(F.regexp_replace("m.word", "[- ]", "_")), "_")[0].alias("stem"),
+        "repo", "path", "line", "end_line", F.regexp_replace(F.split(F.lower(F.regexp_replace("m.word", "[- ]", "_")), "_")[0], "imum$", "").alias("stem"),
         F.col("m.value").alias("value"), F.lower("m.unit").alias("unit"),
     ).filter(F.length("stem") >= 3)
     code = fb.lines.filter(~F.col("line").rlike(_COMMENT_LINE)).withColumn("bare", F.regexp_replace("line", r"(['\"`]).*?\1", "$1$1"))
@@ -371,13 +422,13 @@ def fragile_anchor(fb: FactBase) -> DataFrame:
     tickets = c.filter(F.col("text").rlike(_TICKET)).select("repo", "path", F.col("line").alias("t_line"))
     near = A.band_join(c.select("repo", "path", "line"), tickets, ["repo", "path"], "line", "t_line", 2, 2).select("repo", "path", "line").distinct().withColumn("ticketed", F.lit(True))
     c = c.join(near, ["repo", "path", "line"], "left").fillna(False, ["ticketed"])
-    anchor = F.regexp_extract("text", r"\b[Ll]ines?\s+\d+(?:\s*[-–:]\s*\d+)?\b", 0)
-    position = F.lower(F.regexp_extract("text", r"(?i)\bsee\s+(?:above|below)\b", 0))
+    anchor = F.regexp_extract("text", _LINE_ANCHOR, 1)
+    position = F.lower(F.regexp_extract("text", _POSITION, 1))
     hack = F.coalesce(
-        F.nullif(F.regexp_extract("text", r"\b(?:HACK|XXX|FIXME)\b", 0), F.lit("")), F.regexp_extract("text", r"(?i)\b(?:work-?around|kludge|magic\s+number)\b", 0)
+        F.nullif(F.regexp_extract("text", W.any_of(*W.MAKESHIFT_MARKS), 0), F.lit("")), F.regexp_extract("text", "(?i)" + W.any_of(*W.MAKESHIFT_WORDS), 0)
     )
-    temporal = F.regexp_extract("text", r"(?i)\b(?:temporarily|temporary\s+fix|for\s+now|currently|at\s+the\s+moment)\b", 0)
-    short = (F.length("text") < 160) & F.col("text").rlike(r"(?i)\b(?:fix|hack|patch|toggle|flag|skip|disable)\b")
+    temporal = F.regexp_extract("text", "(?i)" + W.any_of(*W.TEMPORAL), 0)
+    short = (F.length("text") < 160) & F.col("text").rlike("(?i)" + W.any_of(*W.COMPANIONS))
     case = (
         F.when(anchor != "", F.struct(F.lit("line").alias("k"), anchor.alias("claim"), F.lit(0.9).alias("conf")))
         .when(position != "", F.struct(F.lit("position").alias("k"), position.alias("claim"), F.lit(0.65).alias("conf")))
@@ -547,8 +598,10 @@ def _third_party(fb: FactBase) -> DataFrame:
     js = imp.filter("kind = 'js'").filter(~F.col("module").rlike(r"^[./#~@]?/|^\.|^#|^node:|^[a-z]+:")).withColumn(
         "top", F.regexp_extract("module", r"^(@[^/]+/[^/]+|[^/@][^/]*)", 1)
     ).filter(~F.col("top").isin(*sorted(W.NODE_BUILTINS)) & (F.col("top") != ""))
-    zones = fb.manifests.filter("fact = 'alias'").select("repo", F.regexp_replace("name", r"\*$", "").alias("prefix")).distinct()
-    js = js.join(zones, (js.repo == zones.repo) & js.module.startswith(zones.prefix), "left_anti").withColumn("dist", F.col("top"))
+    zones = fb.manifests.filter("fact = 'alias'").select(
+        "repo", F.lit("").alias("zone"), F.regexp_replace("name", r"\*$", "").alias("prefix"), F.col("name").endswith("*").alias("open")
+    ).distinct()
+    js = _anti(js, _alias_matches(js.select("repo", "path", "module"), "module", zones), ["repo", "path", "module"]).withColumn("dist", F.col("top"))
     names = fb.manifests.filter("fact = 'own'").select("repo", F.col("name").alias("top"))
     both = py.unionByName(js).select("repo", "path", "lineno", "top", "dist", "kind")
     return _anti(both, names, ["repo", "top"])
@@ -557,6 +610,11 @@ def _third_party(fb: FactBase) -> DataFrame:
 def _declared(fb: FactBase) -> tuple[DataFrame, DataFrame]:
     """(repo, dir, kind) of manifests, and (repo, dir, kind, dist) of what they declare."""
     m = fb.manifests
+    # a requirements file declares what the files it includes declare, two steps deep
+    inc = m.filter("fact = 'include'").select("repo", "dir", _normal(F.concat_ws("/", F.nullif("dir", F.lit("")), F.col("name"))).alias("at"))
+    for _ in range(2):
+        deps = m.filter("fact = 'py_dep'").select("repo", F.col("path").alias("at"), "fact", "name", "value", "line", "path")
+        m = m.unionByName(inc.join(deps, ["repo", "at"]).select(*m.columns)).distinct()
     kind = F.when(F.col("fact").isin("py_dep") | (F.col("name") == "python"), "py").otherwise("js")
     return (
         m.filter("fact = 'manifest'").select("repo", "dir", kind.alias("kind")).distinct(),
@@ -621,14 +679,11 @@ def stale_api_ref(fb: FactBase, routes: DataFrame | None = None) -> DataFrame:
     )
 
 
-_PREFIX_COMMANDS = ("sudo", "time", "npx", "exec", "env", "uv run", "uvx", "pipx run", "poetry run", "python -m", "python3 -m")
-
-
 def _argv(inv: DataFrame) -> DataFrame:
-    """Invocations with ``prog``, ``args``: command position after prompts, environment settings and wrappers."""
-    clean = F.regexp_replace(F.col("command"), r"^(?:[A-Z_]+=\S+\s+)*(?:(?:" + "|".join(p.replace(" ", r"\s+") for p in _PREFIX_COMMANDS) + r")\s+)*", "")
-    one = F.split(clean, r"\s*(?:\|\||&&|[|;])\s*")
-    return inv.withColumn("cmd", F.explode(one)).withColumn("argv", F.split(F.trim("cmd"), r"\s+")).withColumn("prog", F.col("argv")[0]).filter("prog <> ''")
+    """Commands with ``prog``, their program, and ``argv``, up to ``--``."""
+    stop = F.array_position("argv", "--")
+    upto = F.when(stop > 0, F.slice("argv", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("argv"))
+    return inv.withColumn("argv", upto).filter(F.size("argv") > 0).withColumn("prog", F.col("argv")[0])
 
 
 def stale_cli_flag(fb: FactBase) -> DataFrame:
@@ -638,10 +693,7 @@ def stale_cli_flag(fb: FactBase) -> DataFrame:
     opaque = fb.facts.filter("opaque_cli").select("repo").distinct()
     inv = fb.relation("invocations", claims=True).filter(~F.col("path").rlike(r"(?i)(?:^|/)(?:changes|changelog|history|news|releases?)[^/]*$"))
     use = _argv(inv).join(programs, ["repo", "prog"], "left_semi").join(opaque, "repo", "left_anti").join(flags.select("repo").distinct(), "repo", "left_semi")
-    rest = F.slice("argv", 2, F.lit(1000))
-    stop = F.array_position(rest, "--")
-    args = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
-    used = use.withColumn("raw", F.explode(args)).withColumn("flag", F.regexp_extract("raw", r"^(--[A-Za-z][\w-]*)", 1)).filter(
+    used = use.withColumn("raw", F.explode(F.slice("argv", F.lit(2), F.size("argv")))).withColumn("flag", F.regexp_extract("raw", r"^(--[A-Za-z][\w-]*)(?:=|$)", 1)).filter(
         (F.col("flag") != "") & ~F.col("flag").isin("--help", "--version")
     )
     left = _anti(used, flags, ["repo", "flag"])
@@ -668,7 +720,10 @@ def stale_cli_ref(fb: FactBase, spec: DataFrame | None = None) -> DataFrame:
         "repo", "path", "line", "prog", F.col("command_word").alias("token"), F.lit(0).alias("at")
     )
     toks = use.filter("known or command_word like '-%'").select("repo", "path", "line", "prog", "command_word", F.posexplode("argv").alias("at", "tok"))
-    flags = toks.withColumn("flag", F.regexp_extract("tok", r"^(--[A-Za-z][\w-]*)", 1)).filter("flag <> '' and flag <> '--help'")
+    valued = spec.filter("takes_value").select(F.col("program").alias("prog"), F.col("flag").alias("tok")).distinct()
+    after = toks.join(valued, ["prog", "tok"], "left_semi").select("repo", "path", "line", "prog", (F.col("at") + 1).alias("at"))
+    toks = toks.join(after, ["repo", "path", "line", "prog", "at"], "left_anti")
+    flags = toks.withColumn("flag", F.regexp_extract("tok", r"^(--[A-Za-z][\w-]*)(?:=|$)", 1)).filter("flag <> '' and flag <> '--help'")
     allowed = spec.select(F.col("program").alias("prog"), F.coalesce("command", F.lit("*")).alias("cw"), "flag").filter("flag is not null")
     allowed = allowed.select("prog", "cw", F.explode(F.transform(F.sequence(F.lit(4), F.length("flag")), lambda k: F.substring(F.col("flag"), F.lit(1), k))).alias("flag")).distinct()
     flags = flags.withColumn("cw", F.col("command_word")).join(allowed, ["prog", "cw", "flag"], "left_anti")
@@ -854,22 +909,23 @@ def blast_radius(fb: FactBase, symbol: str) -> DataFrame:
     return fb.edges().filter(F.col("symbol") == symbol).groupBy("repo", "kind").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def check_text(fb: FactBase, text: str) -> DataFrame:
-    """(claim, kind, verdict, detail) of the names and paths that a text mentions."""
-    spark = fb.spark
-    one = spark.createDataFrame([(text,)], "t string")
-    names = one.select(F.explode(F.array_distinct(F.concat(
-        F.regexp_extract_all("t", F.lit(r"`([A-Za-z_][\w.]*)(?:\(\))?`"), F.lit(1)), F.regexp_extract_all("t", F.lit(r"(?<![\w.])([A-Za-z_][\w.]*)\(\)"), F.lit(1))
-    ))).alias("claim")).filter(~F.col("claim").rlike(r"\.(?:py|js|ts|go|c|h|md|json|toml)$")).withColumn("base", F.element_at(F.split("claim", r"\."), -1))
-    known = fb.symbols.select(F.col("name").alias("base")).distinct().withColumn("known", F.lit(True))
-    params = fb.relation("functions").select(F.explode("args").alias("base")).select(F.regexp_replace("base", r"^\*+", "").alias("base")).distinct().withColumn("param", F.lit(True))
-    lower = fb.symbols.select("name").distinct().groupBy(F.lower("name").alias("low")).agg(F.count("*").alias("spellings"), F.min("name").alias("other"))
-    n = names.join(known, "base", "left").join(params, "base", "left").withColumn("low", F.lower("base")).join(lower, "low", "left")
+def check_text(fb: FactBase, text: str, repo: str = "") -> DataFrame:
+    """(claim, kind, verdict, detail) of the names and paths that a text about a repository mentions."""
+    names = sorted({(n, n.split(".")[-1]) for _, n, _, _, _ in extract.ticked_names(text)} | {(n, n.split(".")[-1]) for n, _, _ in extract.called_names(text)})
+    names = [x for x in names if x[1].lower() not in W.FILE_SUFFIXES or "." not in x[0]]
+    claims = fb.spark.createDataFrame(names, "claim string, base string")
+    symbols = fb.symbols.filter(F.col("repo") == repo)
+    known = symbols.select(F.col("name").alias("base")).distinct().withColumn("known", F.lit(True))
+    params = fb.relation("functions").filter(F.col("repo") == repo).select(F.explode("args").alias("base")).select(
+        F.regexp_replace("base", r"^[*.]+", "").alias("base")
+    ).distinct().withColumn("param", F.lit(True))
+    lower = symbols.groupBy(F.lower("name").alias("low")).agg(F.count_distinct("name").alias("spellings"), F.min("name").alias("other"))
+    n = claims.join(known, "base", "left").join(params, "base", "left").withColumn("low", F.lower("base")).join(lower, "low", "left")
     verdict = F.when(F.col("known") | F.col("param") | (F.col("spellings") == 1), "known").otherwise("unknown")
     detail = F.when(F.col("known"), "defined here").when(F.col("param"), "a parameter").when(F.col("spellings") == 1, F.concat(F.lit("spelled "), F.col("other"))).otherwise("defined nowhere")
     s = n.select("claim", F.lit("symbol").alias("kind"), verdict.alias("verdict"), detail.alias("detail"))
-    refs = one.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![\w/:])((?:[\w.-]+/)+[\w.-]+\.(?:" + "|".join(W.FILE_SUFFIXES) + r"))(?!\w)"), F.lit(1)))).alias("claim"))
-    ends = fb.paths.select(F.explode(A.suffixes(F.col("path"))).alias("claim")).distinct().withColumn("there", F.lit(True))
+    refs = fb.spark.createDataFrame(sorted({(p,) for p, _ in extract.path_names(text)}), "claim string")
+    ends = fb.paths.filter(F.col("repo") == repo).select(F.explode(A.suffixes(F.col("path"))).alias("claim")).distinct().withColumn("there", F.lit(True))
     f = refs.join(ends, "claim", "left").select(
         "claim", F.lit("file").alias("kind"), F.when(F.col("there"), "known").otherwise("unknown").alias("verdict"),
         F.when(F.col("there"), "in the tree").otherwise("not in the tree").alias("detail"),
@@ -877,9 +933,10 @@ def check_text(fb: FactBase, text: str) -> DataFrame:
     return s.unionByName(f)
 
 
-def check_path(findings: DataFrame, prefix: str, errors: DataFrame | None = None) -> DataFrame:
-    """Summary of the findings below a path: counts, and whether the scan was complete."""
-    return post.gate(post.in_scope(findings, prefix), "lie", errors)
+def check_path(findings: DataFrame, prefix: str, errors: DataFrame | None = None, repo: str | None = None) -> DataFrame:
+    """Summary of the findings below a path, of one repository or of all: counts, and whether the scan was complete."""
+    mine = findings if repo is None else findings.filter(post.repo_of(findings) == repo)
+    return post.gate(post.in_scope(mine, prefix), "lie", errors)
 
 
 def changed_findings(head: FactBase, base: FactBase, **kw) -> DataFrame:

@@ -179,10 +179,11 @@ def severity_rollup(spark, d):
 
 
 def fingerprints(spark, d):
-    """Stable fingerprints: the first 32 hexadecimal digits of SHA-256 over checker, path, claim and title."""
+    """Stable fingerprints: the first 32 hexadecimal digits of SHA-256 over repository, checker, path, claim and title."""
     from proofline.operators.post import fingerprint
 
-    return table(spark, d, "findings").select("finding_id", fingerprint().alias("fingerprint"))
+    f = table(spark, d, "findings")
+    return f.select("finding_id", fingerprint(f).alias("fingerprint"))
 
 
 def case_variants(spark, d):
@@ -265,7 +266,7 @@ ORACLE = {
     "SELECT finding_id FROM n LEFT JOIN b USING (repo_id, checker, cpath, t) WHERE rn > coalesce(had, 0)",
     "severity_rollup": "SELECT checker, severity, count(*) AS n, CASE severity WHEN 'lie' THEN 3 WHEN 'drift' THEN 2 WHEN 'smell' THEN 1 END AS rank "
     "FROM (SELECT checker, lower(severity) AS severity FROM findings) GROUP BY ROLLUP (checker, severity)",
-    "fingerprints": "SELECT finding_id, substr(sha256('v1' || chr(0) || checker || chr(0) || path || chr(0) || coalesce(claim, '') || chr(0) || "
+    "fingerprints": "SELECT finding_id, substr(sha256('v1' || chr(0) || coalesce(repo_id::VARCHAR, '') || chr(0) || checker || chr(0) || path || chr(0) || coalesce(claim, '') || chr(0) || "
     "coalesce(title, '')), 1, 32) AS fingerprint FROM findings",
     "case_variants": "SELECT lower(name) AS low, min(name) AS first FROM (SELECT DISTINCT name FROM func_info) GROUP BY 1 HAVING count(*) = 2",
     "line_table": "SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)\\blines? \\d+')) AS anchors FROM "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proofline import queries_cases
 from proofline.operators import algebra as A
 from proofline.operators import post
 from proofline.operators.facts import FactBase
@@ -22,18 +23,19 @@ def fact_base(spark, d: str) -> FactBase:
     return _bases[key]
 
 
-def _rule(name):
-    def query(spark, d):
-        return R.REGISTRY[name].plan(fact_base(spark, d)).select(*R.COLUMNS)
-
-    return query
-
-
 def scan_summary(spark, d):
-    """Findings of the default rules by checker and severity."""
+    """Findings of the default rules over the table of files, by checker and severity."""
     return R.scan(fact_base(spark, d)).groupBy("checker", "severity").agg(F.count("*").alias("n"))
 
 
+def scan_opt_in(spark, d):
+    """Findings of the other rules over the table of files; the registry and the specification are those of the cases."""
+    other = [k for k, r in R.REGISTRY.items() if not r.default]
+    return R.scan(fact_base(spark, d), other, registry=queries_cases.registry(spark), spec=queries_cases.spec(spark)).groupBy("checker", "severity").agg(
+        F.count("*").alias("n")
+    )
+
+
 def symbols(spark, d):
     return fact_base(spark, d).relation("symbols").groupBy("language", "kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
@@ -101,19 +103,16 @@ def moved_names(spark, d):
     return R.did_you_mean(n.withColumnRenamed("name", "claim"), n, 0.8, 2, others=True).select("repo", "claim", "name")
 
 
-#: Rules that need a table which the test tables lack (registry snapshot, specification): no query, as it would read nothing.
-NEED_TABLE = ("slop-package", "stale-cli-ref")
-
-QUERIES = {f"rule_{name.replace('-', '_')}": _rule(name) for name in R.REGISTRY if name not in NEED_TABLE} | {
+QUERIES = {
     f.__name__: f
     for f in (
-        scan_summary, symbols, impact, scanned_files, file_lines, conflict_markers, changed_lines, baseline_split, gate_status, moved_names,
+        scan_summary, scan_opt_in, symbols, impact, scanned_files, file_lines, conflict_markers, changed_lines, baseline_split, gate_status, moved_names,
     )
 }
 
 _CLEAN = "regexp_replace(regexp_replace(replace(trim({c}), chr(92), '/'), '/{{2,}}', '/', 'g'), '^(\\./)+', '')"
 _LATEST = "(SELECT repo_id, path, lines FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY indexed_at DESC) AS rn FROM file_facts WHERE path IS NOT NULL AND lines IS NOT NULL) WHERE rn = 1)"
-_FP = "substr(sha256('v1' || chr(0) || checker || chr(0) || path || chr(0) || coalesce(claim, '') || chr(0) || coalesce(title, '')), 1, 32)"
+_FP = "substr(sha256('v1' || chr(0) || coalesce(repo_id::VARCHAR, '') || chr(0) || checker || chr(0) || path || chr(0) || coalesce(claim, '') || chr(0) || coalesce(title, '')), 1, 32)"
 ORACLE = {
     "conflict_markers": "SELECT marker, count(DISTINCT (file_id, pos)) AS lines, count(DISTINCT file_id) AS files FROM (SELECT file_id, unnest(range(1, len(lines) + 1)) AS pos, "
     "regexp_extract(unnest(lines), '^(<{7}|={7}|>{7}|\\|{7})(?:\\s|$)', 1) AS marker FROM file_facts) WHERE marker <> '' GROUP BY 1",
@@ -124,6 +123,4 @@ ORACLE = {
     "gate_status": "SELECT count(*) FILTER (WHERE lower(severity) = 'lie') AS lie, count(*) FILTER (WHERE lower(severity) = 'drift') AS drift, "
     "count(*) FILTER (WHERE lower(severity) = 'smell') AS smell, count(*) FILTER (WHERE lower(severity) = 'lie') AS failing, 0::BIGINT AS errors, "
     "CASE WHEN count(*) FILTER (WHERE lower(severity) = 'lie') > 0 THEN 1 ELSE 0 END AS status FROM findings",
-    "rule_unclosed_fence": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}

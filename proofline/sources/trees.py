@@ -146,6 +146,9 @@ def dist_name(name: str) -> str:
     return re.sub(r"[-_.]+", "-", name.strip()).lower()
 
 
+_INCLUDE = re.compile(r"\s*(?:-r|-c|--requirement|--constraint)[ =]\s*(\S+)")
+
+
 def _requirement(line: str) -> str | None:
     m = re.match(r"\s*([A-Za-z0-9][\w.\-]*)", line)
     return dist_name(m[1]) if m and not line.lstrip().startswith(("#", "-")) else None
@@ -189,6 +192,7 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
         deps = list(project.get("dependencies") or [])
         for group in (project.get("optional-dependencies") or {}).values():
             deps += group
+        # groups may include each other; every group counts, so that an include adds nothing
         for group in (doc.get("dependency-groups") or {}).values():
             deps += [d for d in group if isinstance(d, str)]
         deps += (doc.get("build-system") or {}).get("requires") or []
@@ -203,9 +207,10 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
                 rows += [(where, "program", prog, None, line_of(prog)), (where, "entry_py", prog, str(target), line_of(str(target)))]
         for prog, target in (poetry.get("scripts") or {}).items():
             rows += [(where, "program", prog, None, line_of(prog)), (where, "entry_py", prog, str(target), line_of(str(target)))]
-    elif re.fullmatch(r"requirements[\w.-]*\.txt", name):
+    elif re.fullmatch(r"requirements[\w.-]*\.txt", name) or re.search(r"(?:^|/)(?:requirements|reqs?)/[^/]+\.txt$", path) or name in ("base.txt", "dev.txt", "test.txt"):
         rows.append((where, "manifest", "python", None, 1))
         rows += [(where, "py_dep", r, None, n) for n, x in enumerate(lines, 1) if (r := _requirement(x))]
+        rows += [(where, "include", m[1], None, n) for n, x in enumerate(lines, 1) if (m := _INCLUDE.match(x))]
     elif name in ("setup.py", "setup.cfg"):
         rows.append((where, "manifest", "python", None, 1))
         for block in re.findall(r"(?:install_requires|extras_require|setup_requires|tests_require)\s*=\s*(?:\[([^\]]*)\]|((?:\n[ \t]+.*)+))", text):
@@ -225,6 +230,8 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
         for prog, target in entries.items():
             if isinstance(target, str):
                 rows += [(where, "program", prog.rsplit("/", 1)[-1], None, 1), (where, "entry_js", "bin", target, line_of(target))]
+        browser = doc.get("browser")
+        rows += [(where, "browser", k, None, 1) for k in browser if k.startswith(".")] if isinstance(browser, dict) else []
         if isinstance(doc.get("main"), str):
             rows.append((where, "entry_js", "main", doc["main"], line_of(doc["main"])))
     elif re.fullmatch(r"tsconfig[\w.-]*\.json", name):
@@ -236,10 +243,10 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
         rows += [(where, "exclude", re.sub(r"^\./|/?\*+.*$|/$", "", x), None, 1) for x in doc.get("exclude") or [] if isinstance(x, str)]
         for prefix, repl in (options.get("paths") or {}).items() if isinstance(options.get("paths"), dict) else ():
             rows += [(where, "alias", prefix, re.sub(r"^\./", "", f"{base}/{r}".replace("./", "")), k) for k, r in enumerate(repl) if isinstance(r, str)]
-    elif re.fullmatch(r"(?:openapi|swagger)\.json", name):
-        doc = _json(text)
+    elif name.endswith(".json"):
+        doc = _json(text) if _SPEC.search(text) else {}
         if "openapi" in doc or "swagger" in doc:
-            rows += [(where, "route", p, None, 1) for p in (doc.get("paths") or {})]
+            rows += [(where, "route", p, None, 1) for p in doc["paths"]] if isinstance(doc.get("paths"), dict) else []
     elif name == ".gitignore":
         for n, x in enumerate(lines, 1):
             x = x.strip()
@@ -250,7 +257,9 @@ def manifest_rows(path: str, text: str) -> list[tuple[str, str, str, str | None,
     return rows
 
 
-_MANIFESTS = r"(?:^|/)(?:pyproject\.toml|requirements[\w.-]*\.txt|setup\.py|setup\.cfg|package\.json|tsconfig[\w.-]*\.json|openapi\.json|swagger\.json|\.gitignore|cmd/[\w-]+/main\.go)$"
+_MANIFESTS = r"(?:^|/)(?:pyproject\.toml|requirements[\w.-]*\.txt|setup\.py|setup\.cfg|package\.json|tsconfig[\w.-]*\.json|(?:(?:requirements|reqs?)/[^/]+|base|dev|test)\.txt|\.gitignore|cmd/[\w-]+/main\.go)$"
+#: What a description of an interface says of itself, whatever its file is called.
+_SPEC = re.compile(r'"(?:openapi|swagger)"\s*:')
 _ROWS = "repo string, dir string, fact string, name string, value string, line int, path string"
 
 
@@ -262,7 +271,9 @@ def manifests(files: DataFrame) -> DataFrame:
             rows = [(r, *row, p) for r, p, t in zip(f["repo"], f["path"], f["text"]) for row in manifest_rows(p, t)]
             yield pd.DataFrame(rows, columns=["repo", "dir", "fact", "name", "value", "line", "path"])
 
-    return files.select("repo", "path", "text").filter(F.col("path").rlike(_MANIFESTS) & F.col("text").isNotNull()).mapInPandas(read, _ROWS)
+    return files.select("repo", "path", "text").filter(
+        F.col("text").isNotNull() & (F.col("path").rlike(_MANIFESTS) | (F.col("path").endswith(".json") & F.col("text").rlike(_SPEC.pattern)))
+    ).mapInPandas(read, _ROWS)
 
 
 def inherited_aliases(rows: DataFrame, depth: int = 3) -> DataFrame:

@@ -36,7 +36,7 @@ class NewFindings:
 
     def accept(self, findings: DataFrame, batch: int) -> DataFrame:
         """The new findings of the batch; stores their fingerprints."""
-        marked = findings.withColumn("fingerprint", post.fingerprint()).dropDuplicates(["fingerprint"])
+        marked = findings.withColumn("fingerprint", post.fingerprint(findings)).dropDuplicates(["fingerprint"])
         fresh = marked.join(self.seen_before(batch), "fingerprint", "left_anti")
         fresh.select("fingerprint").write.mode("overwrite").parquet(self._path(batch))
         mine = self.spark.read.parquet(self._path(batch))
