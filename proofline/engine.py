@@ -51,12 +51,10 @@ class Engine:
     def found(self) -> DataFrame:
         """All findings of the configured rules, computed once and kept: findings are few beside the facts."""
         if self._found is None:
-            self._found = R.scan(self.base, list(self.config.rules)).persist()
+            self._found = self.base.kept("found", lambda: R.scan(self.base, list(self.config.rules)))
         return self._found
 
     def close(self) -> None:
-        if self._found is not None:
-            self._found.unpersist()
         self.base.close()
 
     def gate(self, findings: DataFrame) -> DataFrame:

@@ -1,20 +1,23 @@
 """The fact base: every file's facts and claims, extracted once and exploded into relations.
 
-Extraction is a pure function of a file, so it is one pass without a shuffle. Its nested result is kept (in
-memory or on disk) while rules run; each relation is a projection of it and reads only its own columns.
+Extraction is a pure function of a file, so it is one pass without a shuffle. Its nested result is written once as a
+table in the shared folder (``spark.checkpoint.dir``) while rules run; each relation is a projection of it and reads
+only its own columns. Relations that several rules read are tables there too: a plan over them starts at a scan, so
+that plans stay small, executors may be lost without a new extraction, and Spark knows the sizes when it joins.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from proofline.functions.extract import facts_of
+from proofline.session import checkpoint_dir, remove
 from proofline.sources import trees
 
 _CLAIM = "line:int,end_line:int"
@@ -70,21 +73,30 @@ class FactBase:
         self.files = files.filter(F.col("path").isNotNull() & F.col("text").isNotNull()).select(
             F.coalesce("repo", F.lit("")).alias("repo"), "path", "text"
         )
-        facts = self.files.mapInPandas(_extract, _SCHEMA)
         self._keep = keep
         self._kept: dict[str, DataFrame] = {}
-        self.facts = facts.persist(StorageLevel.MEMORY_AND_DISK) if keep else facts
+        self._folder: str | None = None
+
+    @functools.cached_property
+    def facts(self) -> DataFrame:
+        return self.kept("facts", lambda: self.files.mapInPandas(_extract, _SCHEMA))
 
     def close(self) -> None:
-        """Frees what the base keeps."""
-        for df in [self.facts, *self._kept.values()]:
-            df.unpersist()
+        """Removes what the base keeps."""
+        if self._folder is not None:
+            remove(self.spark, self._folder)
+        self._kept.clear()
 
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A derived relation that several rules read, built once and kept like the facts."""
+        """A derived relation that several rules read, built once and kept as a table."""
         if name not in self._kept:
             df = build()
-            self._kept[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if self._keep else df
+            if self._keep:
+                self._folder = self._folder or f"{checkpoint_dir(self.spark)}/facts-{uuid.uuid4().hex}"
+                at = f"{self._folder}/{name}"
+                df.write.parquet(at)
+                df = self.spark.read.schema(df.schema).parquet(at)
+            self._kept[name] = df
         return self._kept[name]
 
     def relation(self, name: str, claims: bool = False) -> DataFrame:

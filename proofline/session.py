@@ -79,3 +79,9 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the shared folder (never a local checkpoint: an executor may be lost)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this library's own, wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
