@@ -7,6 +7,7 @@ import os
 import py_compile
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -81,6 +82,23 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, each computed once (``checkpoint`` computes them twice); it is removed
+    when the driver ends."""
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    atexit.register(_try_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _try_remove(spark: SparkSession, folder: str) -> None:
+    try:
+        remove(spark, folder)
+    except Exception:  # the session has ended before
+        pass
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of this library's own, wherever it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
