@@ -1,20 +1,26 @@
 """Generated, minified, vendored and data files among the sources.
 
 Method: header notices and customary names label files; a random forest is trained on what remains visible when
-the notices are hidden: compression ratio, token entropy, identifier lengths, comment density and the share of
-lines that hold literals only. Labelled files are cases as their notice says; the forest finds minified files and
-data stored as code that carry no notice, and what it proposes is confirmed by the layout.
+the notices are hidden (paths are no feature at all): compression ratio, token entropy, identifier lengths, comment
+density and the like. A labelled file is a case as its notice says; of the others the forest decides, alone, at a
+probability of one half.
+
+Notices are rare on minified files and absent from data stored as code, so that labels by notices alone teach next to
+nothing about them. The forest is therefore also shown made positives: sampled sources without a label, minified or
+replaced by a table of their size by this module. No label is a threshold on a feature.
 
 Defined results: languages other than the five are no case; a null language is taken from the suffix. Null
 ``lines`` and null elements count as empty. Null paths have no name to judge by. A file whose repository is
 unknown has no own project, so that any project named with a version is another one. A file is a case if any of
-its deliveries is. Rows with null ``file_id`` are ignored, extra columns too. If the sample lacks positive or
-negative labels no forest is trained and only labels count.
+its deliveries is. A file without any text is none by its looks. Rows with null ``file_id`` are ignored, extra columns too. If the sample has no file without a
+label no forest is trained and only labels count.
 """
 
 from __future__ import annotations
 
+import keyword
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -28,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm import validity
+from proofline.session import written
 
-#: Bound of the training sample, chosen by a hash of the file's id.
-SAMPLE_ROWS = 8000
-#: A third of a file may be anything else if the rest is literals; prose in strings is no data.
-DATA_SHARE = 0.8
+#: Bounds of the training sample, chosen by a hash of the file's id, and of the sampled files that positives are made of.
+SAMPLE_ROWS, MADE_ROWS = 8000, 1000
+#: A file without a label is no negative from this probability of the coarse forest on.
+DOUBTFUL = 0.25
 HEAD_LINES, TAIL_LINES = 12, 4
 
 # Customary directories of third-party code and of tool output, and customary file names.
@@ -52,6 +59,7 @@ _OUTPUT_NAME = re.compile(
 )
 
 _COMMENT_TEXT = re.compile(r"^\s*(?:#+!?|//+[!#@]?|/\*+!?|\*+|--|\"\"\"|''')\s*(.*?)\s*(?:\*/|\"\"\")?\s*$")
+_COMMENT_SIGNS = tuple("#/*-\"'")
 _GENERATED = re.compile(
     r"^(?:(?:the |this )?(?:code|file|source|module|document|content|script)s? (?:(?:is|was|has been) )?)?"
     r"(?:auto(?:matically)?[ -]?)?generated(?: (?:file|code))? ?(?:by|with|from|using|on)\b"
@@ -83,7 +91,7 @@ def _comment(line: str, block: bool = False) -> str | None:
     """The text of a comment that begins the line (``block``: that the line continues), without the code after it."""
     if block or line.lstrip().startswith("/*"):
         line = line.split("*/", 1)[0]
-    m = _COMMENT_TEXT.match(line)
+    m = _COMMENT_TEXT.match(line) if line.lstrip()[:1] in _COMMENT_SIGNS else None
     return m[1] if m else line.strip() if block else None
 
 
@@ -152,8 +160,6 @@ FEATURES = (
 )
 #: Comments that begin a line: what stands above minified code says nothing about its layout.
 _HEAD_COMMENT = re.compile(r"^[ \t]*(?://[^\n]*|/\*[\s\S]*?(?:\*/|\Z))", re.M)
-#: Statements on a line of code, on average, from which code without blanks is minified, however short it is.
-LINE_STATEMENTS = 2
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?m:^\s*#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|elif|pragma|undef)\b)[^\n]*)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)")
 _LITERAL_LINE = re.compile(
@@ -167,7 +173,7 @@ def features(lines: list[str]) -> list[float]:
     """Statistics of a file without its notices."""
     text = "\n".join(
         x for x in lines
-        if not ((m := _COMMENT_TEXT.match(x)) and len(x) < 300 and (_GENERATED.search(m[1]) or _OTHER_PROJECT.match(m[1])))
+        if not (x.lstrip()[:1] in _COMMENT_SIGNS and len(x) < 300 and (m := _COMMENT_TEXT.match(x)) and (_GENERATED.search(m[1]) or _OTHER_PROJECT.match(m[1])))
     )
     size = len(text)
     if not text.strip():
@@ -233,56 +239,144 @@ def _sampled(files: DataFrame, rows: int) -> DataFrame:
     return files.filter(F.xxhash64("file_id") <= F.lit(-(2**63) + int(rows / n * 2**64)))
 
 
-def train(files: DataFrame, repos: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RandomForestClassificationModel | None:
-    """The forest, from files labelled by their notices or names.
+# Made positives
 
-    A generated or vendored file that looks like any other teaches nothing about looks; positives are therefore
-    the labelled files whose layout is machine-made, and the clearly literal ones, negatives all without label.
-    """
-    rows = _examined(_sampled(files, sample_rows), repos).toPandas().sort_values("file_id")
-    made = rows["features"].map(_machine_layout)
-    keep = (rows["label"].isna() & ~made) | made
-    rows, label = rows[keep], made[keep].astype(float)
-    if label.nunique() < 2:
-        return None
-    data = (
-        files.sparkSession.createDataFrame(
-            [(float(y), [float(v) for v in x]) for y, x in zip(label, rows["features"])], "label double, x array<double>"
-        )
-        .coalesce(1)
-        .select("label", array_to_vector("x").alias("features"))
-    )
-    return RandomForestClassifier(numTrees=40, maxDepth=8, seed=11).fit(data)
 
+_SPACE_BETWEEN = re.compile(r"\s*([^\w\s$\"'])\s*")
+_MADE_NAME = re.compile(r"[\"'`][^\"'`\n]*[\"'`]|(?<![\w.$])[A-Za-z_$][\w$]{2,}")
 
-def _machine_layout(x: list[float]) -> bool:
-    """Whether the layout is that of a minified file or of data."""
-    v = dict(zip(FEATURES, x))
-    minified = v["short_identifiers"] > 0.4 and (
-        (v["log_longest_line"] > math.log1p(300) and v["space_ratio"] < 0.12)
-        or (v["line_statements"] >= LINE_STATEMENTS and v["code_space_ratio"] < 0.12)
-    )
-    return minified or (v["literal_lines"] >= DATA_SHARE and v["log_size"] > math.log1p(120))
 
+def minified(lines: list[str], rng: random.Random) -> list[str]:
+    """The code on one line, or on few long ones, without comments and needless blanks, local names shortened."""
+    code = _COMMENT.sub("", "\n".join(lines))
+    short: dict[str, str] = {}
+
+    def rename(m: re.Match) -> str:
+        w = m[0]
+        if w[0] in "\"'`" or keyword.iskeyword(w) or w in KEPT_WORDS or rng.random() < 0.15:
+            return w
+        if w not in short:
+            k = len(short)
+            short[w] = "etnrioaswuvxyzbcdfg"[k % 19] + (str(k // 19) if k >= 19 else "")
+        return short[w]
+
+    code = " ".join(_SPACE_BETWEEN.sub(r"\1", _MADE_NAME.sub(rename, x)) for x in map(str.strip, code.split("\n")) if x)
+    code = re.sub(r"(?<=[;{},()]) +", "", code)
+    if rng.random() < 0.3:
+        code = code[: rng.randrange(80, 600)]  # bundles of a single function
+    if rng.random() < 0.5:
+        return [code]
+    width = rng.choice((120, 400, 900, 5000))
+    return [code[k : k + width] for k in range(0, len(code), width)]
 
-def not_handwritten(files: DataFrame, repos: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(file_id, reason, probability): files not written by hand for their repository."""
-    seen = _examined(files, repos)
-    model = train(files, repos, sample_rows)
+
+# Words of the languages that a minifier keeps.
+KEPT_WORDS = frozenset(
+    """break case catch class const continue default do else export for function func if import in let new null return switch
+    this throw true try typeof var void while static struct unsigned int char long package range nil""".split()
+)
+
+
+def as_table(lines: list[str], language_like: str, rng: random.Random) -> list[str]:
+    """A table of literals of about the size of a file, as data is stored in the language."""
+    n = max(6, min(len(lines), 400))
+    kind = rng.choice(("numbers", "hex", "decimals", "words", "rows", "blob"))
+    indent = rng.choice(("  ", "    ", "\t"))
+    per = rng.randrange(4, 20)
+
+    def cell() -> str:
+        if kind == "numbers":
+            return str(rng.randrange(rng.choice((10, 256, 70000))))
+        if kind == "hex":
+            return hex(rng.randrange(256))
+        if kind == "decimals":
+            return f"{rng.uniform(-9, 9):.{rng.randrange(2, 7)}f}"
+        if kind == "words":
+            return '"' + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) + '"'
+        return "(" + ", ".join(str(rng.randrange(999)) for _ in range(3)) + ")" if language_like == "py" else "[" + ", ".join(str(rng.randrange(999)) for _ in range(3)) + "]"
+
+    name = rng.choice(("TABLE", "values", "glyph_bits", "lookup", "Rows", "codes"))
+    open_, close = {
+        "py": (f"{name} = [", "]"), "go": (f"package p\n\nvar {name} = []int{{", "}"), "c": (f"static const unsigned char {name}[] = {{", "};"),
+        "h": (f"static const unsigned char {name}[] = {{", "};"), "ts": (f"export const {name}: number[] = [", "];"),
+    }.get(language_like, (rng.choice(("module.exports = [", f"export const {name} = [", f"var {name} = [")), "];"))
+    if kind == "blob":
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        if rng.random() < 0.3:
+            return [open_.rstrip("[{") + '"' + "".join(rng.choices(letters, k=60 * min(n, 40))) + '"']
+        body = [indent + '"' + "".join(rng.choices(letters, k=rng.choice((60, 76)))) + '"' + ("," if rng.random() < 0.2 else "") for _ in range(n)]
+    else:
+        body = [indent + ", ".join(cell() for _ in range(per)) + "," for _ in range(n)]
+    head = [rng.choice(("# ", "// ") if language_like != "py" else ("# ",)) + "Values as measured."] if rng.random() < 0.3 else []
+    return head + open_.split("\n") + body + [close]
+
+
+def _made(files: DataFrame, rows: int) -> DataFrame:
+    """Features of made positives, one minified and one table for each sampled file without a label."""
+    src = validity.code_files(_sampled(files, rows)).select(
+        "file_id", "path", validity.text_of(F.transform("lines", lambda x: F.coalesce(x, F.lit("")))).alias("text")
+    )
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for ident, path, text in zip(f["file_id"], f["path"], f["text"]):
+                lines, rng = text.split("\n"), random.Random(int(ident))
+                if notice(lines, None) or named(path) or len(text) < 80:
+                    continue
+                suffix = (path or "").rsplit(".", 1)[-1].lower()
+                out.append((ident, features(as_table(lines, suffix, rng))))
+                if suffix not in ("py", "pyi"):
+                    small = minified(lines, rng)
+                    if sum(map(len, small)) >= 60:
+                        out.append((ident, features(small)))
+            yield pd.DataFrame(out, columns=["file_id", "features"])
+
+    return src.mapInPandas(make, "file_id long, features array<double>")
+
+
+def train(
+    files: DataFrame, repos: DataFrame, sample_rows: int = SAMPLE_ROWS, made_rows: int = MADE_ROWS, seen: DataFrame | None = None
+) -> RandomForestClassificationModel | None:
+    """The forest: labelled and made positives against the files without a label."""
+    seen = _examined(files, repos) if seen is None else seen
+    rows = _sampled(seen, sample_rows).select(F.col("label").isNotNull().cast("double").alias("y"), "features")
+    if not rows.filter("y = 0").take(1):
+        return None
+    made = _made(files, made_rows)
+    got = [(float(r["y"]), list(r["features"])) for r in rows.collect()]
+    got += [(1.0, list(r["features"])) for r in made.collect()]
+    if len({y for y, _ in got}) < 2:
+        return None
+    data = files.sparkSession.createDataFrame(sorted(got), "label double, x array<double>").coalesce(2).select(
+        "label", array_to_vector("x").alias("features")
+    ).persist()
+    # a file without a label need not be written by hand: those that a coarse forest takes for made are no negatives
+    coarse = RandomForestClassifier(numTrees=20, maxDepth=3, minInstancesPerNode=20, featureSubsetStrategy="0.6", seed=11).fit(data)
+    doubtful = vector_to_array("probability")[1] >= DOUBTFUL
+    sure = coarse.transform(data).filter((F.col("label") == 1.0) | ~doubtful).select("label", "features")
+    model = RandomForestClassifier(numTrees=30, maxDepth=7, minInstancesPerNode=4, featureSubsetStrategy="0.5", seed=11).fit(sure)
+    data.unpersist()
+    return model
+
+
+def not_handwritten(files: DataFrame, repos: DataFrame, sample_rows: int = SAMPLE_ROWS, made_rows: int = MADE_ROWS) -> DataFrame:
+    """(file_id, reason, probability): files not written by hand for their repository.
+
+    The reason is the notice's, or ``minified`` or ``data`` by what there is more of in a file that the forest found.
+    """
+    seen = written(_examined(files, repos))  # features are small beside the texts; both training and scoring read them
+    model = train(files, repos, sample_rows, made_rows, seen)
     if model is None:
         return _once(seen.select("file_id", F.col("label").alias("reason"), F.lit(None).cast("double").alias("probability")))
     scored = model.transform(seen.withColumn("vector", array_to_vector("features")).drop("features").withColumnRenamed(
         "vector", "features"
     )).select("file_id", "label", vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"))
     at = {c: F.col("x")[i] for i, c in enumerate(FEATURES)}
-    layout = (
-        F.when(at["literal_lines"] >= DATA_SHARE, F.lit("data"))
-        .when((at["log_longest_line"] > math.log1p(300)) & (at["space_ratio"] < 0.12), F.lit("minified"))
-        .when((at["line_statements"] >= LINE_STATEMENTS) & (at["code_space_ratio"] < 0.12), F.lit("minified"))
-    )
+    kind = F.when(at["literal_lines"] >= 0.5, F.lit("data")).otherwise(F.lit("minified"))
     return _once(
         scored.select(
-            "file_id", F.coalesce("label", F.when(F.col("p") >= 0.5, layout)).alias("reason"), F.col("p").alias("probability")
+            "file_id", F.coalesce("label", F.when((F.col("p") >= 0.5) & (at["log_size"] > 0), kind)).alias("reason"), F.col("p").alias("probability")
         )
     )
 
@@ -293,4 +387,4 @@ def _once(rows: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["features", "named", "not_handwritten", "notice", "train"]
+__all__ = ["as_table", "features", "minified", "named", "not_handwritten", "notice", "train"]

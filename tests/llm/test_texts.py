@@ -116,15 +116,22 @@ def test_segment_index_misses_nothing():
         assert index.near(k % 9, t) == want
 
 
+def _with_sources(spark, rows):
+    """Planted files among the sources of the test tables, which the forest learns from."""
+    planted = spark.createDataFrame(rows, "file_id long, repo_id int, path string, language string, lines array<string>, indexed_at timestamp")
+    sources = spark.read.parquet("/root/testdata/sf0.01/file_facts.parquet")
+    return sources.select("file_id", "repo_id", "path", "language", "lines", F.col("indexed_at").cast("timestamp").alias("indexed_at")).unionByName(planted)
+
+
 def test_not_handwritten(spark):
+    rng = random.Random(3)
     hand = ["import os", "", "# A note on how this is read.", "def load(path):", "    with open(path) as handle:", "        return handle.read()"]
     table = ["T = ["] + ["    " + ", ".join(str((k * 7 + j) % 251) for j in range(12)) + "," for k in range(40)] + ["]"]
+    words = ["export const words = ["] + ["  " + ", ".join(f'"{rng.choice(WORDS)}"' for _ in range(9)) + "," for _ in range(60)] + ["];"]
     small = ["!function(e,t){" + "".join(f"t.a{k}=function(q){{var r2=q||{{}};return r2.b{k}}};" for k in range(60)) + "}(this,{});"]
-    rows = []
-    for k in range(40):
-        rows.append((k, 1, f"src/m{k}.py", "python", [f"x_{k} = {k}"] + hand, None))
-        rows.append((100 + k, 1, f"src/t{k}.py", "python", table, None))
-        rows.append((200 + k, 1, f"static/b{k}.js", "javascript", small, None))
+    tight = ["var a=0;" + "".join(f"function f{k}(e){{return e?e+{k}:a++}}" for k in range(6))]
+    big = 10**9
+    looks = {100: ("src/t.py", table), 101: ("src/w.ts", words), 200: ("static/b.js", small), 201: ("static/s.js", tight), 202: ("static/l.js", ["/* Licence of this file, in some words. */"] + small)}
     notes = {
         300: ("a.py", ["# Code generated by maker. DO NOT EDIT."] + hand), 301: ("vendor/x/a.py", hand), 302: ("a_pb2.py", hand),
         303: ("b.py", ["# Imported from the otherlib 6.1.3 release tarball"] + hand), 304: ("gen/a.py", hand), 305: ("c.py", hand + ["# AUTO-GENERATED FILE: changes will be overwritten"]),
@@ -132,30 +139,26 @@ def test_not_handwritten(spark):
     mine = {
         400: ("vendor_portal/a.py", hand), 401: ("d.py", ["# ownrepo v4.3.0, (c) the ownrepo authors"] + hand), 402: ("e.py", ["# This is not generated code, please edit it by hand."] + hand),
         403: ("f.py", ["# Do not edit the list while a scan is running."] + hand), 404: ("generators/g.py", ["# Helpers that decide whether a file was generated by another tool."] + hand),
-        405: ("h.py", hand + ["PRIMES = [2, 3, 5, 7]", 'HELP = "' + "This is a long text for people to read. " * 30 + '"']), 406: ("n.md", ["# Code generated by maker. DO NOT EDIT."]),
+        405: ("h.py", hand + ["", "PRIMES = [2, 3, 5, 7]", "", "def first():", "    # The first of them.", "    return PRIMES[0]", 'HELP = "' + "This is a long text for people to read. " * 8 + '"']), 406: ("n.md", ["# Code generated by maker. DO NOT EDIT."]),
         407: (None, hand), 408: ("z.py", []), 409: ("y.py", None), 410: ("k.py", ["# Works with Python 3.11 or later"] + hand), 411: ("l.py", ["# Copied from another module of ownrepo in v8.13"] + hand),
+        412: ("m.py", ["", None, "   "]),
     }
-    rows += [(k, 1, p, "markdown" if p == "n.md" else "python", lines, None) for k, (p, lines) in (notes | mine).items()]
-    f = spark.createDataFrame(rows, "file_id long, repo_id int, path string, language string, lines array<string>, indexed_at timestamp").withColumn("label", F.lit("clash"))
-    repos = spark.createDataFrame([(1, "ownrepo"), (None, "x")], "repo_id int, name string")
-    got = {r.file_id: r.reason for r in handwritten.not_handwritten(f, repos).collect()}
-    assert set(got) == set(range(100, 140)) | set(range(200, 240)) | set(notes)
+    rows = [(big + k, 10**6, p, "markdown" if p == "n.md" else None if p else "python", lines, None) for k, (p, lines) in (looks | notes | mine).items()]
+    f = _with_sources(spark, rows).withColumn("label", F.lit("clash"))
+    repos = spark.createDataFrame([(10**6, "ownrepo"), (None, "x")], "repo_id int, name string")
+    got = {r.file_id - big: r.reason for r in handwritten.not_handwritten(f, repos).collect() if r.file_id >= big}
+    assert set(got) == set(looks) | set(notes)
     assert got[303] == "vendored" and got[100] == "data" and got[200] == "minified"
     assert handwritten.not_handwritten(f.limit(0), repos).count() == 0
 
 
-def test_short_minified_files(spark):
-    hand = ["import { open } from './files';", "", "// How this is read.", "export function load(path) {", "  return open(path).read();", "}"]
-    tight = ["i=0;", "j=1;", "k=f(i,j);"]
-    line = lambda n: "!function(e,t){" + "".join(f"for(var w{k}=0;w{k}<t.n;w{k}++){{e.q(w{k})}}" for k in range(40))[: n - 15]
-    licence = ["/*", *(f" * Line {k} of a licence that is longer than the code below it." for k in range(20)), " */"]
-    rows = [(k, 1, f"src/h{k}.js", "javascript", [f"// {k}"] + hand, None) for k in range(60)]
-    rows += [(100 + k, 1, f"src/m{k}.js", "javascript", [line(120 + 20 * k)], None) for k in range(40)]
-    rows += [(200, 1, "src/a.js", "javascript", [line(290)], None), (201, 1, "src/b.js", "javascript", licence + [line(290)], None)]
-    rows += [(300, 1, "src/c.js", "javascript", tight, None), (301, 1, "src/d.js", "javascript", licence + hand, None)]
-    f = spark.createDataFrame(rows, "file_id long, repo_id int, path string, language string, lines array<string>, indexed_at timestamp")
-    got = {r.file_id: r.reason for r in handwritten.not_handwritten(f, spark.createDataFrame([(1, "own")], "repo_id int, name string")).collect()}
-    assert got == dict.fromkeys([*range(100, 140), 200, 201], "minified")
+def test_made_positives_are_code_of_another_layout():
+    rng = random.Random(1)
+    lines = ["// Reads rows.", "export function readRows(path, limit) {", "  const rows = open(path).lines();", "  return rows.slice(0, limit);", "}"] * 4
+    small = "".join(handwritten.minified(lines, rng))
+    assert "Reads rows" not in small and "\n" not in small and "function" in small and small.count(" ") < 0.1 * len(small)
+    for k in range(30):
+        assert len(handwritten.as_table(lines, rng.choice(["py", "js", "ts", "go", "c"]), random.Random(k))) >= 1
 
 
 @pytest.mark.parametrize("line", ["// {}", " * {}", "{}"])
