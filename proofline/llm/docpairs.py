@@ -2,13 +2,15 @@
 
 Method: the comments that can be documentation and the function declarations near them form a bipartite graph;
 an edge weighs the distance in lines, the agreement of parameter tags with the arguments and mentions of the
-name. The heaviest assignment links each function with at most one comment; links whose comment does not end on
-the line just above the declaration are implausible and rejected, and so are uninformative descriptions. In
-Python the docstring is part of the function, so that its link is certain.
+name. The heaviest assignment links each function with at most one comment. A link that ends just above the
+declaration stands by its place; one over blank lines or other code is implausible, and rejected, unless tags or names
+speak for it (``PLAUSIBLE``). Uninformative descriptions are rejected too. In Python the docstring is part of the
+function, so that its link is certain. ``code_doc_pairs`` gives all accepted links with their distance,
+``documented_functions`` those that the language's convention knows: the comment ends on the line just above.
 
 Defined results: the lines decide, an older extraction is not consulted. Files that do not parse, are of no
 supported language, or have null ``lines`` give no pairs; null elements are empty lines. Of repeated deliveries
-of a ``file_id`` the latest counts. Rows with null ``file_id`` are ignored. Extra columns are ignored; an empty
+of a ``file_id`` the latest counts (equal times: the greater hash of the content). Rows with null ``file_id`` are ignored. Extra columns are ignored; an empty
 table gives no rows. Two functions declared on the same line with the same name count once.
 """
 
@@ -29,6 +31,8 @@ from proofline.llm import lexers, validity
 #: Lines below a comment in which a declaration is a candidate for it.
 WINDOW = 3
 MIN_WORDS = 4
+#: Weight from which a link that does not end just above a declaration is accepted: more than any distance can give.
+PLAUSIBLE = 2.5
 
 # A description whose words are all among these says that there is none, or where one is.
 FILLER_WORDS = frozenset(
@@ -60,6 +64,7 @@ class Function:
     first_line: int  # of the declaration
     end_line: int
     args: list[str]
+    distance: int = 1  # lines from the end of its comment to the declaration
 
 
 @dataclass
@@ -98,7 +103,7 @@ def informative(text: str, name: str) -> bool:
 
 
 def python_pairs(text: str) -> list[tuple[Function, str]]:
-    tree = validity.python_tree(text)
+    tree = lexers.python_tree(text)
     if not isinstance(tree, ast.Module):
         return []
     out, todo = [], [tree.body]
@@ -140,7 +145,8 @@ class Tokens:
 
     def __init__(self, language: str, text: str):
         self.language = language
-        self.raw = lexers.TOKENS[language].findall(text)
+        self.text = text
+        self.raw = lexers.tokenize(language, text)
         self.sig: list[str] = []
         self.lines: list[int] = []
         self.comments: list[tuple[str, int, int, bool]] = []  # token, first and last line, alone on its line so far
@@ -185,6 +191,8 @@ class Tokens:
         return len(self.sig) - 1
 
     def valid(self) -> bool:
+        if any(t[0] == "`" and "${" in t for t in self.raw):
+            return validity.parses(self.language, self.text)
         if self.raw and lexers.open_state(self.language, self.raw[-1]) != lexers.NORMAL:
             return False
         code = lexers.encode(self.language, self.raw)
@@ -453,14 +461,19 @@ def assignment(weights: Sequence[Sequence[float]]) -> list[int]:
 
 
 def link_weight(comment: Comment, fn: Function) -> float:
-    """Larger for near declarations, agreeing parameter tags and a mention of the name."""
-    weight = 4.0 / (fn.first_line - comment.line)
+    """Larger for near declarations, agreeing parameter tags and a mention of the name; tags of other names count against."""
+    weight = 4.0 / (fn.first_line - comment.line) if fn.first_line == comment.line + 1 else 2.0 / (fn.first_line - comment.line)
     tags = set(_TAG_PARAM.findall(comment.text))
     if tags:
-        weight += len(tags.intersection(a.lstrip("*.") for a in fn.args)) / len(tags)
-    if fn.name in comment.text:
-        weight += 0.5
-    return weight
+        weight += 3.0 * len(tags.intersection(a.lstrip("*.") for a in fn.args)) / len(tags) - 1.0
+    if re.search(rf"(?<!\w){re.escape(fn.name)}(?!\w)", comment.text):
+        weight += 1.5
+    return max(weight, 0.01)
+
+
+def plausible(comment: Comment, fn: Function) -> bool:
+    """Whether an assigned link is accepted."""
+    return fn.first_line == comment.line + 1 or link_weight(comment, fn) >= PLAUSIBLE
 
 
 def comment_pairs(language: str, text: str) -> list[tuple[Function, str]]:
@@ -497,9 +510,10 @@ def comment_pairs(language: str, text: str) -> list[tuple[Function, str]]:
                 for f, w in c.edges:
                     weights[r][place[f]] = w
             linked = [(group[r], functions[cols[k]]) for r, k in enumerate(assignment(weights)) if k >= 0]
-        pairs += [
-            (fn, c.text) for c, fn in linked if fn.first_line == c.line + 1 and informative(c.text, fn.name)
-        ]
+        for c, fn in linked:
+            if plausible(c, fn) and informative(c.text, fn.name):
+                fn.distance = fn.first_line - c.line
+                pairs.append((fn, c.text))
     return pairs if pairs and tok.valid() else []
 
 
@@ -535,6 +549,7 @@ _FULL = T.ArrayType(
             T.StructField("end_lineno", T.IntegerType()),
             T.StructField("args", T.ArrayType(T.StringType())),
             T.StructField("description", T.StringType()),
+            T.StructField("distance", T.IntegerType()),
         ]
     )
 )
@@ -543,7 +558,7 @@ _FULL = T.ArrayType(
 @F.pandas_udf(_KEYS)
 def _keys(language: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(
-        [[{"name": f.name, "lineno": f.line} for f, _ in pairs_of(a, b)] for a, b in zip(language, text)], dtype="object"
+        [[{"name": f.name, "lineno": f.line} for f, _ in pairs_of(a, b) if f.distance == 1] for a, b in zip(language, text)], dtype="object"
     )
 
 
@@ -555,6 +570,7 @@ def _full(language: pd.Series, text: pd.Series) -> pd.Series:
                 {
                     "name": f.name, "lineno": f.line, "first_lineno": f.first_line, "end_lineno": f.end_line,
                     "args": f.args, "description": described(d).strip(),
+                    "distance": f.distance,
                 }
                 for f, d in pairs_of(a, b)
             ]
@@ -567,7 +583,7 @@ def _full(language: pd.Series, text: pd.Series) -> pd.Series:
 def documented_functions(files: DataFrame) -> DataFrame:
     """(file_id, name, lineno) of each function with a documentation that is not trivial."""
     got = validity.code_files(files).select(
-        "file_id", validity.delivery_time(F.col("indexed_at")).alias("at"),
+        "file_id", validity.delivery_order().alias("at"),
         _keys("language", validity.text_of(F.col("lines"))).alias("pairs"),
     )
     return (
@@ -583,7 +599,7 @@ def code_doc_pairs(files: DataFrame) -> DataFrame:
     """Pairs of code and description with file, name, arguments and line."""
     src = validity.code_files(files)
     got = src.select(
-        "file_id", "language", "lines", validity.delivery_time(F.col("indexed_at")).alias("at"),
+        "file_id", "language", "lines", validity.delivery_order().alias("at"),
         _full("language", validity.text_of(F.col("lines"))).alias("pairs"),
     )
     rows = got.select(
@@ -592,7 +608,7 @@ def code_doc_pairs(files: DataFrame) -> DataFrame:
             "pairs",
             lambda p: F.struct(
                 p["name"].alias("name"), p["lineno"].alias("lineno"), p["args"].alias("args"),
-                p["description"].alias("description"),
+                p["description"].alias("description"), p["distance"].alias("distance"),
                 validity.text_of(
                     F.slice("lines", p["first_lineno"], p["end_lineno"] - p["first_lineno"] + 1)
                 ).alias("code"),
@@ -600,10 +616,11 @@ def code_doc_pairs(files: DataFrame) -> DataFrame:
         ).alias("pairs"),
     )
     return (
-        rows.groupBy("file_id", "language")
-        .agg(F.max_by("pairs", "at").alias("pairs"))
+        rows.groupBy("file_id")
+        .agg(F.max_by(F.struct("language", "pairs"), "at").alias("r"))
+        .select("file_id", "r.language", "r.pairs")
         .select("file_id", "language", F.explode("pairs").alias("p"))
-        .select("file_id", "language", "p.name", "p.lineno", "p.args", "p.description", "p.code")
+        .select("file_id", "language", "p.name", "p.lineno", "p.args", "p.description", "p.distance", "p.code")
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from proofline.llm import docpairs, lexers, validity
 
 GOOD = {
-    "python": ["", "x = 1\n", "﻿x = 1", "def f(a, *, b=1):\n    '''doc'''\n    return {**a}\n", "s = '''\n<<<<<<< HEAD\n'''\n", "\tif_ = 1".strip()],
+    "python": ["", "x = [\n1,\n(2,\n3),\n]\ny = 'a \\\nb'\n@a\n@b(\n1)\ndef f():\n    pass\nif x:\n    y = 1\nelse:\n    y = 2\n", "x = {\n'a': [\n1],\n}\nfoo(\n)\n\n# c\ntry:\n    a\nexcept B:\n    pass\nfinally:\n    c\nx = 1 + \\\n2\n", "x = 1\n", "﻿x = 1", "def f(a, *, b=1):\n    '''doc'''\n    return {**a}\n", "s = '''\n<<<<<<< HEAD\n'''\n", "\tif_ = 1".strip()],
     "javascript": [
         "", "// only a comment", "const a = 1, {b, c: [d = 2]} = x\nlet e", "if (a) b(); else { c() }", "for (const x of y) z(x)\nfor (let i = 0; i < 3; i++) {}",
         "class A extends B { static x = 1; #p; get y() { return this.#p } async *g() { yield* h() } }", "export default async (a, {b}) => ({ [b]: a?.c ?? d })",
@@ -17,6 +17,7 @@ GOOD = {
         "const t = `\n<<<<<<< HEAD\n`;", "x = {a, b() {}, get c() { return 1 }, async d() {}, ...e, 'f': 1, 2: 3,}", "do x++; while (x < 5)", "({a: 1}).a",
     ],
     "typescript": [
+        "const s = `a ${rows.map((r) => {\n  if (r) { return f({ id: `x${r}` }); }\n}).join(',')} b`\nlet y = `${a.split(\"{\")}`",
         "interface A<T> extends B { readonly x?: T[]; [k: string]: any; f(a: number): void }", "type T = { [K in keyof A]?: A[K] } | ((x: number) => string)",
         "function f<T extends B = C>(this: D, a?: number, ...r: string[]): asserts a is string { return }", "enum E { A = 1, B }", "const x = y as unknown as Map<string, Array<number>>;",
         "abstract class A implements B, C { private constructor(readonly x: number) { super() } abstract f(): void; declare y: string }", "declare module 'm' { export const a: number }",
@@ -35,7 +36,7 @@ GOOD = {
     ],
 }
 BAD = {
-    "python": ["def f(:\n", "x = (1\n", "  x = 1\n", "<<<<<<< HEAD\nx = 1\n", "s = '''abc\n", "function f() { return 1 }\n"],
+    "python": ["def f(:\n", "x = [\n1,\ndef f(): pass\n]\n", "x = 1\nelse:\n    y\n", "@a\nx = 1\n", "x = (\n1]\n", "x = 'a\nb = 1\n", "x = [\n1\n2\n]\n", "if x:\ny = 1\n", "x = (1\n", "  x = 1\n", "<<<<<<< HEAD\nx = 1\n", "s = '''abc\n", "function f() { return 1 }\n"],
     "javascript": ["function f( {", "const x = ;", "}\n", "a b c", "<<<<<<< HEAD\na()", "a()\n=======\nb()", "def f(x):\n    return x", "const s = 'abc", "/* open", "interface A { x: string }", "const f = (a: string): void => {}", "{\"a\": 1, \"b\": 2}", "if (x) else y", "* text of a comment\n */\nf()"],
     "typescript": ["const x: = 1", "interface { }", "class A { f( }", "package main\n", "a()\n>>>>>>> theirs\n"],
     "go": ["", "// nothing", "func f() {}", "package a\nfunc f() {\n", "package a\nx := 1\n", "package a\n=======\nvar x = 1\n", "package a\nfunc f() { if x { } else y() }\n"],
@@ -49,10 +50,27 @@ def test_good_and_bad(language):
     assert [s for s in BAD[language] if validity.parses(language, s)] == []
 
 
+def test_python_chunks_compose_in_any_grouping():
+    rng = random.Random(7)
+    pieces = ["x = 1", "x = [", "1,", "]", "(", ")", "def f():", "    pass", "@a", "else:", "if x:", "'a \\", "b'", '"""', "class A: pass", "# c", "", "f(1)", "for x in y"]
+    for _ in range(400):
+        rows = [rng.choice(pieces) + "\n" for _ in range(rng.randint(2, 9))]
+        parts = [lexers.summarise("python", x, first=k == 0) for k, x in enumerate(rows)]
+        left = parts[0]
+        for p in parts[1:]:
+            left = lexers.compose(left, p)
+        right = parts[-1]
+        for p in reversed(parts[:-1]):
+            right = lexers.compose(p, right)
+        want = lexers.python_tree("".join(rows)) is not None
+        assert validity.accepts_code("python", left) == validity.accepts_code("python", right) == want
+        assert validity.parses("python", "".join(rows)) == want
+
+
 @pytest.mark.parametrize("language", ["javascript", "go", "c"])
 def test_summaries_compose_in_any_grouping(language):
     rng = random.Random(5)
-    pieces = {"javascript": ["/* a", "b */ {", "`x", "y`;", "}", "f(", ")", "// c"], "go": ["/* a", "b */ {", "`x", "y`", "}", "f(", ")"], "c": ["/* a", "b */ {", "}", "f(", ")"]}[language]
+    pieces = {"javascript": ["/* a", "b */ {", "`x", "y`;", "}", "f(", ")", "// c", "`a ${", "} b ${ {", "}`", "'s \\", "t'", "{"], "go": ["/* a", "b */ {", "`x", "y`", "}", "f(", ")"], "c": ["/* a", "b */ {", "}", "f(", ")", "'s \\", "t'"]}[language]
     for _ in range(200):
         lines = [rng.choice(pieces) + "\n" for _ in range(rng.randint(2, 8))]
         whole = lexers.summarise(language, "".join(lines), first=True).by_state["N"]
@@ -63,8 +81,9 @@ def test_summaries_compose_in_any_grouping(language):
         right = parts[-1]
         for p in reversed(parts[:-1]):
             right = lexers.compose(p, right)
-        assert left.by_state["N"] == right.by_state["N"]
-        assert left.by_state["N"][:2] == whole[:2]
+        assert left == right
+        assert left.by_state["N"] == whole or "@" in left.by_state["N"][0] + whole[0]  # an end without a beginning: an error at once
+        assert validity.accepts_code(language, left) == validity.parses(language, "".join(lines))
 
 
 def _files(spark, rows):
@@ -86,13 +105,30 @@ def test_broken_files_edge_cases(spark):
     assert rate[1, "javascript"] == (2, 1) and rate[1, "python"] == (2, 1)
 
 
+def test_latest_delivery_decides(spark):
+    import datetime as dt
+
+    early, late = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    ts = ["const x: number = 1;"]
+    rows = [
+        (1, 1, "a.ts", "javascript", ts, early, ""), (1, 1, "a.ts", "typescript", ts, late, ""),
+        (2, 1, "b.js", "javascript", ["{"], early, ""), (2, 2, "b.js", "javascript", ["x()"], late, ""),
+        (3, 1, "c.js", "javascript", ["x()"], early, ""), (3, 1, "c.js", "javascript", ["{"], late, ""),
+        (4, 1, "d.js", "javascript", ["{"], early, ""), (4, 1, "d.md", "markdown", ["{"], late, ""),
+        (5, 1, "e.js", "javascript", ["{"], early, ""), (5, 1, "e.js", "javascript", None, late, ""),
+    ]
+    for chunk in (1, 7, validity.CHUNK_LINES):
+        assert sorted(r.file_id for r in validity.broken_files(_files(spark, rows), chunk).collect()) == [3, 5]
+
+
 def test_chunked_equals_whole(spark):
     rows = []
     for k, (language, texts) in enumerate([*GOOD.items(), *BAD.items()]):
         rows += [(100 * k + n, 1, "x", language, t.split("\n"), None, "") for n, t in enumerate(texts)]
     f = _files(spark, rows)
     whole = {r.file_id for r in validity.broken_files(f).collect()}
-    assert {r.file_id for r in validity.broken_files(f, 1).collect()} == whole
+    for chunk in (1, 7):
+        assert {r.file_id for r in validity.broken_files(f, chunk).collect()} == whole
     assert whole == {r[0] for r in rows if r[0] >= 500}
 
 
@@ -120,6 +156,15 @@ def test_pairs(language):
     assert [(f.name, f.line) for f, _ in got] == WANT[language]
 
 
+def test_links_over_a_gap_need_tags_or_names():
+    far = "/**\n * Counts how many rows are open now.\n * @param {number} limit\n */\n\nfunction count(limit) {}\n"
+    other = far.replace("@param {number} limit", "@param {number} width")
+    rival = "/** Says how rows are counted in here. */\nfunction one(a) {}\n/** Shows what two does with rows. */\n\nfunction two(b) {}\n"
+    assert [(f.name, f.distance) for f, _ in docpairs.pairs_of("javascript", far)] == [("count", 2)]
+    assert docpairs.pairs_of("javascript", other) == []
+    assert [(f.name, f.distance) for f, _ in docpairs.pairs_of("javascript", rival)] == [("one", 1), ("two", 2)]
+
+
 def test_pairs_have_arguments_and_code(spark):
     rows = [(k, 1, "x", lang, SOURCES[lang].split("\n"), None, "n") for k, lang in enumerate(SOURCES)] + [(99, 1, "b.py", "python", ["def f(:", '    """Says something useful about it."""'], None, "n"), (98, 1, "n.py", "python", None, None, "n")]
     f = _files(spark, rows)
