@@ -4,8 +4,11 @@ Method: a grouping genetic algorithm on islands. Its genes are whole containers:
 containers of one parent into the other, drops the containers that hold a document twice and puts the documents
 displaced by that back by best fit. The documents of a capacity are spread over cells of bounded size by a hash;
 each cell is evolved by several islands in tasks of their own, whose elites migrate around a ring between epochs.
-Containers that are not well filled at the end of a round are opened, and their documents meet others in the
-cells of the next round.
+
+A container that is full to the last token is as good as can be. It is injected into every individual once and for all,
+so that evolution spends itself on the others and on a few full ones thawed for their documents. Containers that are
+not full at the end of a round are opened, and their documents meet those of other cells in the next round, whose cells
+are as many fewer as there are fewer documents left, until one cell holds them all.
 
 A document is only split if it exceeds the capacity: into pieces of exactly the capacity and a last piece, which
 is packed like a document. Pieces of the capacity fill a container each.
@@ -27,19 +30,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.session import checkpoint
+from proofline.session import written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents a cell has on average; its spread is that of a hash.
-CELL = 240
-ISLANDS, EPOCHS, ROUNDS = 2, 2, 2
-POPULATION, GENERATIONS = 4, 6
-#: Containers filled to this share are final after the first round.
-WELL_FILLED = 0.995
+CELL = 2000
+ISLANDS, EPOCHS = 2, 2
+#: Generations of an epoch; a round of a single cell has no next one to mend what it leaves.
+POPULATION, GENERATIONS, LAST_GENERATIONS = 10, 30, 300
+#: Share of a cell's containers that stay open though they are full: those of the most documents, small ones that
+#: fill the gaps of the next round.
+OPEN_SHARE = 0.1
+#: Containers filled to this share are final in every round; those of the last round are whatever they hold.
+WELL_FILLED = 0.9995
+#: A round that leaves more than this share of its documents open is the last: more rounds would not end.
+SHRINK = 0.7
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,56 +164,88 @@ def evolve(sizes: Sequence[int], capacity: int, seed: int, elites: list[list[int
             p.bins[at].append(i)
             p.loads[at] += sizes[i]
         population.append(p)
-    while len(population) < POPULATION:
-        wild = 0.0 if not population else 0.35
-        keys = [-sizes[i] * (1 + wild * rng.random()) for i in range(n)]
-        population.append(best_fit(sorted(range(n), key=keys.__getitem__), sizes, capacity, Packing([], [])))
+    if not population:
+        population.append(best_fit(sorted(range(n), key=lambda i: -sizes[i]), sizes, capacity, Packing([], [])))
     bound = -(-sum(sizes) // capacity)
-    scored = sorted(((p.fitness(capacity), -k, p) for k, p in enumerate(population)), reverse=True)
+    best = min(population, key=lambda p: (len(p.bins), -p.fitness(capacity)))
+    if len(best.bins) <= bound:
+        return best  # no packing needs fewer containers
+    # full containers of the best: most are kept for good, some are thawed beside those that are not full
+    full = [k for k, load in enumerate(best.loads) if load == capacity]
+    rng.shuffle(full)
+    kept = full[: max(0, len(full) - max(8, len(best.bins) - len(full)))]
+    frozen = Packing([best.bins[k] for k in kept], [best.loads[k] for k in kept])
+    fixed = {i for b in frozen.bins for i in b}
+    loose = [i for i in range(n) if i not in fixed]
+    least = bound - len(kept)
+    part = []
+    for p in population:
+        mine = [k for k, b in enumerate(p.bins) if fixed.isdisjoint(b)]
+        own = Packing([p.bins[k] for k in mine], [p.loads[k] for k in mine])
+        there = {i for b in own.bins for i in b}
+        part.append(best_fit(sorted((i for i in loose if i not in there), key=lambda i: -sizes[i]), sizes, capacity, own))
+    while len(part) < POPULATION:
+        wild = rng.choice((0.05, 0.15, 0.35))
+        keys = {i: -sizes[i] * (1 + wild * rng.random()) for i in loose}
+        part.append(best_fit(sorted(loose, key=keys.__getitem__), sizes, capacity, Packing([], [])))
+    scored = sorted(((-len(p.bins), p.fitness(capacity), -k, p) for k, p in enumerate(part)), reverse=True)
     for g in range(generations):
-        if len(scored[0][2].bins) <= bound:
-            break  # no packing needs fewer containers
-        a, b = scored[0][2], scored[1 + rng.randrange(len(scored) - 1)][2]
+        if -scored[0][0] <= least:
+            break
+        a, b = scored[0][3], scored[1 + rng.randrange(len(scored) - 1)][3]
         if rng.random() < 0.5:
             a, b = b, a
         child = mutate(crossover(a, b, sizes, capacity, rng), sizes, capacity, rng)
-        scored[-1] = (child.fitness(capacity), -POPULATION - g, child)
+        scored[-1] = (-len(child.bins), child.fitness(capacity), -POPULATION - g, child)
         scored.sort(reverse=True)
-    return scored[0][2]
+    won = scored[0][3]
+    return Packing(frozen.bins + won.bins, frozen.loads + won.loads)
 
 
 _ISLAND = "size_id int, capacity int, cell int, island int, docs array<struct<doc_id:long,piece:int,tokens:int>>, elites array<array<int>>"
 _EVOLVED = (
     "size_id int, capacity int, cell int, island int, docs array<struct<doc_id:long,piece:int,tokens:int>>, "
-    "bins array<int>, fitness double"
+    "bins array<int>, final array<boolean>, fitness double"
 )
 
 
-def _evolver(round_no: int, epoch: int):
+def finished(p: Packing, capacity: int) -> list[bool]:
+    """For each container, whether a round leaves it as it is."""
+    most = sorted(range(len(p.bins)), key=lambda k: (-len(p.bins[k]), k))[: int(OPEN_SHARE * len(p.bins))]
+    stays = set(most)
+    return [load >= WELL_FILLED * capacity and k not in stays for k, load in enumerate(p.loads)]
+
+
+def _evolver(round_no: int, epoch: int, cells: dict[int, int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            bins, fit = [], []
+            bins, final, fit = [], [], []
             for size_id, capacity, cell, island, docs, elites in zip(
                 f["size_id"], f["capacity"], f["cell"], f["island"], f["docs"], f["elites"]
             ):
                 sizes = [d["tokens"] for d in docs]
                 seed = hash((int(size_id), int(cell), int(island), round_no, epoch))
-                p = evolve(sizes, int(capacity), seed, [list(map(int, e)) for e in elites] if elites is not None else [])
+                last = cells[int(size_id)] == 1
+                p = evolve(
+                    sizes, int(capacity), seed, [list(map(int, e)) for e in elites] if elites is not None else [],
+                    LAST_GENERATIONS if last else GENERATIONS,
+                )
                 where = np.zeros(len(sizes), np.int32)
                 for k, items in enumerate(p.bins):
                     where[items] = k
+                done = np.ones(len(p.bins), bool) if last else np.array(finished(p, int(capacity)), bool)
                 bins.append(where)
-                fit.append(p.fitness(int(capacity)))
-            yield f[["size_id", "capacity", "cell", "island", "docs"]].assign(bins=bins, fitness=fit)
+                final.append(done[where])
+                fit.append(p.fitness(int(capacity)) - len(p.bins))
+            yield f[["size_id", "capacity", "cell", "island", "docs"]].assign(bins=bins, final=final, fitness=fit)
 
     return run
 
 
-def _round(items: DataFrame, round_no: int, cells: DataFrame) -> DataFrame:
-    """(size_id, capacity, cell, bin, doc_id, piece, tokens): one round over all cells."""
-    spread = items.join(F.broadcast(cells), "size_id").withColumn(
-        "cell", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.col("cells")).cast("int")
-    )
+def _round(items: DataFrame, round_no: int, cells: dict[int, int]) -> DataFrame:
+    """(size_id, capacity, cell, bin, final, doc_id, piece, tokens): one round over all cells, whose number is given by capacity."""
+    count = F.create_map(*[F.lit(x) for kv in sorted(cells.items()) for x in kv])[F.col("size_id")]
+    spread = items.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), count).cast("int"))
     islands = (
         spread.groupBy("size_id", "capacity", "cell")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "tokens"))).alias("docs"))
@@ -214,11 +255,11 @@ def _round(items: DataFrame, round_no: int, cells: DataFrame) -> DataFrame:
     )
     for epoch in range(EPOCHS):
         done = islands.select("size_id", "capacity", "cell", "island", "docs", "elites").mapInPandas(
-            _evolver(round_no, epoch), _EVOLVED
+            _evolver(round_no, epoch, cells), _EVOLVED
         )
         cell = done.groupBy("size_id", "capacity", "cell").agg(
             F.first("docs").alias("docs"),
-            F.array_sort(F.collect_list(F.struct("island", "bins", "fitness"))).alias("solved"),
+            F.array_sort(F.collect_list(F.struct("island", "bins", "final", "fitness"))).alias("solved"),
         )
         if epoch + 1 == EPOCHS:
             break
@@ -231,12 +272,12 @@ def _round(items: DataFrame, round_no: int, cells: DataFrame) -> DataFrame:
                 F.col("own.bins"), F.element_at("solved", (F.pmod(F.col("at") + 1, F.size("solved")) + 1).cast("int"))["bins"]
             ).alias("elites"),
         ).repartition("size_id", "cell", "island")
-    best = F.array_max(F.transform("solved", lambda s: F.struct(s["fitness"].alias("fitness"), s["bins"].alias("bins"))))["bins"]
+    best = F.array_max(F.transform("solved", lambda s: F.struct(s["fitness"].alias("fitness"), s["island"].alias("island"), s["bins"].alias("bins"), s["final"].alias("final"))))
     return (
-        cell.select("size_id", "capacity", "cell", F.arrays_zip("docs", best.alias("bin")).alias("z"))
-        .select("size_id", "capacity", "cell", F.explode("z").alias("z"))
+        cell.select("size_id", "capacity", "cell", "docs", best.alias("best"))
+        .select("size_id", "capacity", "cell", F.explode(F.arrays_zip("docs", F.col("best.bins").alias("bin"), F.col("best.final").alias("final"))).alias("z"))
         .select(
-            "size_id", "capacity", "cell", F.col("z.bin").alias("bin"), F.col("z.docs.doc_id").alias("doc_id"),
+            "size_id", "capacity", "cell", F.col("z.bin").alias("bin"), F.col("z.final").alias("final"), F.col("z.docs.doc_id").alias("doc_id"),
             F.col("z.docs.piece").alias("piece"), F.col("z.docs.tokens").alias("tokens"),
         )
     )
@@ -255,7 +296,7 @@ def containers(
         .groupBy(F.col("size_id").cast("int").alias("size_id"))
         .agg(F.max("capacity_tokens").cast("int").alias("capacity"))
     )
-    counted = checkpoint(token_counts(documents, path, vocabulary))
+    counted = written(token_counts(documents, path, vocabulary))
     each = _with_capacities(counted, caps)
     pieces = each.select(
         "size_id", "capacity", "doc_id",
@@ -268,15 +309,17 @@ def containers(
     )
     full = pieces.filter(F.col("tokens") == F.col("capacity")).withColumn("container", _name(F.lit("f"), "doc_id", "piece"))
     items = pieces.filter(F.col("tokens") < F.col("capacity"))
-    out = full
-    for r in range(ROUNDS):
-        cells = items.groupBy("size_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL)).cast("int").alias("cells"))
-        packed = checkpoint(_round(items, r, cells))
-        load = F.sum("tokens").over(Window.partitionBy("size_id", "cell", "bin"))
-        packed = packed.withColumn("well", (load >= WELL_FILLED * F.col("capacity")) | F.lit(r + 1 == ROUNDS))
-        named = packed.withColumn("container", _name(F.lit(f"r{r}"), "cell", "bin"))
-        out = out.unionByName(named.filter("well").select(out.columns))
-        items = packed.filter(~F.col("well")).select("size_id", "capacity", "doc_id", "piece", "tokens")
+    out, r = full, 0
+    left = {x["size_id"]: x["n"] for x in items.groupBy("size_id").agg(F.count("*").alias("n")).collect()}  # one row a capacity
+    while left:
+        cells = {s: max(1, -(-n // CELL)) for s, n in left.items()}
+        well = written(_round(items, r, cells))
+        rest = {x["size_id"]: x["n"] for x in well.filter("not final").groupBy("size_id").agg(F.count("*").alias("n")).collect()}
+        stuck = [s for s, n in rest.items() if n > SHRINK * left[s] and n > CELL]
+        done = F.col("final") | F.col("size_id").isin(stuck)
+        out = out.unionByName(well.filter(done).withColumn("container", _name(F.lit(f"r{r}"), "cell", "bin")).select(out.columns))
+        items = well.filter(~done).select("size_id", "capacity", "doc_id", "piece", "tokens")
+        left, r = {s: n for s, n in rest.items() if s not in stuck}, r + 1
     return out.select(
         "size_id", "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("first_token"), "tokens", "container"
     )

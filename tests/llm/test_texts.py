@@ -220,6 +220,33 @@ def test_packing_keeps_every_token(spark):
     assert packing.containers(d.limit(0), sizes).count() == 0 and packing.containers(d, sizes.limit(0)).count() == 0
 
 
+def test_evolution_beats_best_fit():
+    rng = random.Random(5)
+    fewer = 0
+    for seed in range(5):
+        cuts = [sorted(rng.sample(range(1, 200), 3)) for _ in range(40)]
+        sizes = [y - x for c in cuts for x, y in zip([0, *c], [*c, 200])]  # forty containers of 200 could do
+        greedy = packing.best_fit(sorted(range(160), key=lambda i: -sizes[i]), sizes, 200, packing.Packing([], []))
+        p = packing.evolve(sizes, 200, seed, [], 300)
+        assert sorted(i for b in p.bins for i in b) == list(range(160)) and max(p.loads) <= 200
+        assert [sum(sizes[i] for i in b) for b in p.bins] == p.loads
+        assert 40 <= len(p.bins) <= len(greedy.bins)
+        fewer += len(p.bins) < len(greedy.bins)
+    assert fewer >= 2
+
+
+def test_rounds_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 60)
+    rng = random.Random(9)
+    d = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 80))), None) for k in range(600)], "doc_id long, text string, updated_at timestamp")
+    sizes = spark.createDataFrame([(1, "s", 100)], "size_id int, label string, capacity_tokens int")
+    out = packing.containers(d, sizes).toPandas()
+    counted = {r.doc_id: r.tokens for r in packing.token_counts(d).collect()}
+    assert out.groupby("doc_id").tokens.sum().to_dict() == counted
+    loads = out.groupby("container").tokens.sum()
+    assert loads.max() <= 100 and len(loads) <= 1.05 * -(-sum(counted.values()) // 100) + 2
+
+
 def test_crossover_is_a_packing():
     rng = random.Random(2)
     sizes = [rng.randint(0, 90) for _ in range(120)]
