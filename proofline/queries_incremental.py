@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from proofline.operators import incremental as inc
-from proofline.session import table
+from proofline.session import scratch, table
 
 _STATE_SQL = """
 WITH log AS (
@@ -20,7 +20,15 @@ st AS (SELECT c.repo_id, c.path, c.sha AS current_sha, o.sha AS known_sha
 
 
 def p3_found(spark, sf_dir):
-    return inc.pending_paths(table(spark, sf_dir, "changed_plan"), table(spark, sf_dir, "scan_runs"))
+    """The next batch, run and committed: the manifest holds what the last successful runs knew; the rows are read back
+    from the committed batch."""
+    changes, runs = table(spark, sf_dir, "changed_plan"), table(spark, sf_dir, "scan_runs")
+    root = scratch(spark)
+    run = inc.IncrementalRun(spark, root, "repo_id int, path string", "sha string", ("sha",))
+    run.seed(inc.known_manifest(changes, runs))
+    run.run(inc.current_listing(changes), lambda paths: paths.select("repo_id", "path"))
+    done = run.results()
+    return spark.createDataFrame([], "repo_id int, path string") if done is None else done.select("repo_id", "path")
 
 
 def p3_states(spark, sf_dir):

@@ -82,13 +82,19 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder in the shared folder; it is removed when the driver ends."""
+    at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    atexit.register(_try_remove, spark, at)
+    return at
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, each computed once (``checkpoint`` computes them twice); it is removed
     when the driver ends."""
     spark = df.sparkSession
-    at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    at = scratch(spark)
     df.write.parquet(at)
-    atexit.register(_try_remove, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -153,6 +153,60 @@ def test_incremental_run_sees_returns_and_deletions(spark, tmp_path):
     assert len(set(batches)) == 5 and run.results().count() == 6
 
 
+def test_incremental_run_misses_no_change_during_a_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("old")
+    run = inc.IncrementalRun(spark, str(tmp_path / "run"))
+    listing = lambda: inc.list_inputs(spark, str(src), manifest=run.manifest())
+
+    def work(p):
+        rows = [(r.path, (src / "a.txt").read_text()) for r in p.collect()]
+        (src / "a.txt").write_text("new content")
+        return spark.createDataFrame(rows, "path string, text string")
+
+    assert run.run(listing(), work)
+    read = lambda p: spark.createDataFrame([(r.path, (src / "a.txt").read_text()) for r in p.collect()], "path string, text string")
+    assert run.run(listing(), read)
+    assert sorted(r.text for r in run.results().collect()) == ["new content", "old"]
+    assert run.run(listing(), read) is None
+
+
+def test_unchanged_files_are_not_read(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+    (src / "b.txt").write_text("two")
+    first = inc.list_inputs(spark, str(src)).collect()
+    known = spark.createDataFrame([(r.path, r.size, r.modified, "kept as it was", 1) for r in first], "path string, size long, modified long, checksum string, seq long")
+    (src / "b.txt").write_text("three")
+    got = {r.path.rsplit("/", 1)[1]: r.checksum for r in inc.list_inputs(spark, str(src), manifest=known).collect()}
+    assert got["a.txt"] == "kept as it was" and len(got["b.txt"]) == 64
+
+
+def test_a_number_is_committed_once(spark, tmp_path):
+    entries = spark.createDataFrame([("a", 1, 1, "x")], "path string, size long, modified long, checksum string")
+    run = inc.IncrementalRun(spark, str(tmp_path / "run"))
+    run._commit(entries, "one", 1)
+    with pytest.raises(RuntimeError):
+        run._commit(entries, "two", 1)
+    assert run.commits() == [1] and [r.batch for r in run.manifest().collect()] == ["one"]
+
+
+def test_repositories_do_not_speak_for_each_other(spark):
+    rows = [(r, "a.py", 12, 12, "c", "lie", "t", "x", "", "", 0.5) for r in ("A", "B")]
+    f = spark.createDataFrame(rows, "repo string, path string, line int, end_line int, checker string, severity string, title string, claim string, evidence string, fix string, confidence double")
+    lines = spark.createDataFrame([("A", "a.py", 12, "x  # proofline: ignore=c")], "repo string, path string, lineno int, line string")
+    assert {r.repo: r.suppressed for r in post.suppressed(f, post.markers(lines)).collect()} == {"A": True, "B": False}
+    only_a = f.filter("repo = 'A'")
+    assert [r.repo for r in post.introduced(f, only_a).collect()] == ["B"]
+    assert {r.repo: r.baselined for r in post.split_baseline(f, post.baseline_of(only_a)).collect()} == {"A": True, "B": False}
+    hunks = spark.createDataFrame([("B", "a.py", 12)], "repo string, path string, line int")
+    none = spark.createDataFrame([], "repo string, path string, name string")
+    assert [r.repo for r in post.changed(f, hunks, none, none).collect()] == ["B"]
+    assert post.dedupe(f.unionByName(f)).count() == 2
+
+
 def test_watch_reports_new_findings_once(spark, tmp_path):
     f = lambda rows: spark.createDataFrame([(p, 1, 1, "c", "lie", t, t, "", "", 0.5) for p, t in rows], post.FINDING_SCHEMA)
     seen = NewFindings(spark, str(tmp_path / "s"))

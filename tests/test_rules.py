@@ -155,10 +155,6 @@ def test_moved_names(spark, tmp_path):
     assert got == {("7", a, b) for a in three for b in three if a != b}
 
 
-def test_no_query_without_its_table():
-    assert not {"rule_slop_package", "rule_stale_cli_ref"} & set(queries_rules.QUERIES) and "rule_stale_cli_flag" in queries_rules.QUERIES
-
-
 def test_empty_and_null_files(spark):
     files = spark.createDataFrame([("", "a.py", None), ("", None, "x"), ("", "b.py", ""), (None, "c.md", "")], "repo string, path string, text string")
     b = FactBase(files)
