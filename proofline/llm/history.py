@@ -12,9 +12,12 @@ accepted finding appends its segments.
 
 Only groups of equal repository, checker, file and symbol with two members or more are looked at. Copies that
 agree in line and text are one class, built before the shuffle, so that a hot group shrinks to its distinct
-statements; classes stream through the index in the order of delivery, which holds one group at a time.
+statements. What lies more than ``MAX_LINES`` lines apart, with nothing between, cannot meet, directly or through
+others: a group is split into such runs of lines, found over its distinct lines only (at most the lines of a file), and
+each run streams through an index of its own, in the order of delivery, wherever it lands.
 
-For single batches, ``repeats_of_batch`` reads from the stored index only the groups that the batch touches.
+A new batch reads from the stored index only the groups that it touches (``repeats_of_batch``) and appends what it adds.
+``repeats_by_batches`` loads the past in one pass, stores its index, and takes the last batches that way, one by one.
 
 Defined results: a row with null ``finding_id``, ``batch_id``, ``repo_id``, ``checker``, ``path``, ``line`` or
 ``title`` repeats nothing and is repeated by nothing. A finding that repeats several accepted ones is returned
@@ -31,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.session import written
+
 MAX_LINES = 5
 #: One edit is allowed for so many characters.
 CHARS_PER_EDIT = 4
@@ -39,6 +44,8 @@ MIN_COVER = 0.4
 #: Below this length a head may have no segment to spare.
 SHORT = 12
 _BLOCK = MAX_LINES + 1
+#: Batches that ``repeats_by_batches`` takes one by one.
+INCREMENTS = 2
 _MEMO_LIMIT = 200_000
 
 # Letters of other scripts that look like Latin ones, and what they look like.
@@ -204,25 +211,25 @@ def _class(k1: Column, k2: Column, line: Column, text: Column) -> Column:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(k1, k2, line, text, batch_id, finding_id): distinct statements with their first delivery."""
+    """(k1, k2, line, text, batch_id, finding_id, last): distinct statements with their first delivery and last member."""
     return (
         rows.groupBy("k1", "k2", "line", "text")
-        .agg(F.min(F.struct("batch_id", "finding_id")).alias("first"))
-        .select("k1", "k2", "line", "text", "first.batch_id", "first.finding_id")
+        .agg(F.min(F.struct("batch_id", "finding_id")).alias("first"), F.max("finding_id").alias("last"))
+        .select("k1", "k2", "line", "text", "first.batch_id", "first.finding_id", "last")
     )
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams classes sorted by group and delivery; gives (class, accepted) wherever they say the same."""
+    """Streams classes sorted by run and delivery; gives (class, accepted) wherever they say the same."""
     same = SameText()
     group = None
     for f in frames:
         out: list[tuple[int, int, int]] = []
-        for k1, k2, line, text, batch, ident, cls, known in zip(
-            f["k1"], f["k2"], f["line"], f["text"], f["batch_id"], f["finding_id"], f["class"], f["accepted"]
+        for k1, k2, run, line, text, batch, ident, cls, known in zip(
+            f["k1"], f["k2"], f["run"], f["line"], f["text"], f["batch_id"], f["finding_id"], f["class"], f["accepted"]
         ):
-            if (k1, k2) != group:
-                group, accepted, repeated = (k1, k2), SegmentIndex(same), SegmentIndex(same)
+            if (k1, k2, run) != group:
+                group, accepted, repeated = (k1, k2, run), SegmentIndex(same), SegmentIndex(same)
             hits = [] if known else accepted.near(line, text)
             if hits:
                 out += [(cls, i, b) for i, b in hits]
@@ -237,23 +244,33 @@ def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"class": c, "accepted_id": i, "accepted_batch": b})
 
 
-def repeats(findings: DataFrame) -> DataFrame:
-    """(accepted_id, finding_id): each later finding with the accepted ones that it repeats."""
-    rows = statements(findings)
-    first = rows.groupBy("k1", "k2", "line", "text").agg(
-        F.min(F.struct("batch_id", "finding_id")).alias("first"), F.max("finding_id").alias("last")
+def _runs(first: DataFrame) -> DataFrame:
+    """(k1, k2, line, run): lines that must meet, of runs with something new that can be a repeat."""
+    lines = first.groupBy("k1", "k2", "line").agg(
+        F.count("*").alias("n"), F.max((F.col("last") != F.col("finding_id"))).alias("copies"), F.max(~F.col("accepted")).alias("new")
     )
-    first = first.select(
-        "k1", "k2", "line", "text", "first.batch_id", "first.finding_id", "last", F.lit(False).alias("accepted")
+    ordered = Window.partitionBy("k1", "k2").orderBy("line")
+    gap = F.col("line") - F.lag("line").over(ordered) > MAX_LINES
+    numbered = lines.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(ordered))
+    run = Window.partitionBy("k1", "k2", "run")
+    return (
+        numbered.withColumn("members", F.sum("n").over(run))
+        .withColumn("again", F.max("copies").over(run))
+        .withColumn("fresh", F.max("new").over(run))
+        # a lone class has only copies of itself: its first member is accepted
+        .filter(F.col("fresh") & ((F.col("members") > 1) | F.col("again")))
+        .select("k1", "k2", "line", "run")
     )
-    # a lone class has only copies of itself: its first member is accepted
-    group = Window.partitionBy("k1", "k2")
-    counted = first.withColumn("n", F.count(F.lit(1)).over(group)).filter(
-        (F.col("n") > 1) | (F.col("last") != F.col("finding_id"))
-    ).withColumn("class", _class(F.col("k1"), F.col("k2"), F.col("line"), F.col("text")))
+
+
+def _links(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """(accepted_id, finding_id): what the members ``rows`` of the classes ``first`` repeat."""
     links = (
-        counted.select("k1", "k2", "line", "text", "batch_id", "finding_id", "class", "accepted")
-        .sortWithinPartitions("k1", "k2", "batch_id", "finding_id")
+        first.join(_runs(first), ["k1", "k2", "line"])
+        .withColumn("class", _class(F.col("k1"), F.col("k2"), F.col("line"), F.col("text")))
+        .select("k1", "k2", "run", "line", "text", "batch_id", "finding_id", "class", "accepted")
+        .repartition("k1", "k2", "run")
+        .sortWithinPartitions("k1", "k2", "run", F.col("accepted").desc(), "batch_id", "finding_id")
         .mapInPandas(_decide, _CLASS_SCHEMA)
     )
     members = rows.select(
@@ -262,6 +279,26 @@ def repeats(findings: DataFrame) -> DataFrame:
     return _later(members.join(links, "class"))
 
 
+def repeats(findings: DataFrame) -> DataFrame:
+    """(accepted_id, finding_id): each later finding with the accepted ones that it repeats, in one pass."""
+    rows = statements(findings)
+    return _links(classes(rows).withColumn("accepted", F.lit(False)), rows)
+
+
+def repeats_by_batches(findings: DataFrame, increments: int = INCREMENTS) -> DataFrame:
+    """The same rows: the past in one pass, the last batches one by one against the stored index."""
+    rows = written(statements(findings))
+    newest = [r["batch_id"] for r in rows.select("batch_id").distinct().orderBy(F.desc("batch_id")).limit(increments).collect()]
+    past = rows.filter(~F.col("batch_id").isin(newest)) if newest else rows
+    out = written(_links(classes(past).withColumn("accepted", F.lit(False)), past))
+    index = written(_accepted(past, out))
+    for batch in sorted(newest):
+        mine = rows.filter(F.col("batch_id") == batch)
+        again = written(_batch(index, mine))
+        out, index = out.unionByName(again), index.unionByName(written(_accepted(mine, again)))
+    return out
+
+
 def _later(pairs: DataFrame) -> DataFrame:
     return (
         pairs.filter(
@@ -273,39 +310,32 @@ def _later(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _accepted(rows: DataFrame, again: DataFrame) -> DataFrame:
+    return classes(rows.join(again.select("finding_id").distinct(), "finding_id", "left_anti"))
+
+
 def accepted_statements(findings: DataFrame) -> DataFrame:
-    """The index as stored: (k1, k2, line, text, batch_id, finding_id) of accepted findings."""
-    again = repeats(findings).select("finding_id").distinct()
-    return classes(statements(findings).join(again, "finding_id", "left_anti"))
+    """The index as stored: (k1, k2, line, text, batch_id, finding_id, last) of accepted findings."""
+    return _accepted(statements(findings), repeats(findings))
+
+
+def _batch(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    fresh = classes(rows).withColumn("accepted", F.lit(False))
+    touched = stored.join(rows.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").withColumn(
+        "accepted", F.lit(True)
+    )
+    return _links(touched.unionByName(fresh), rows)
 
 
 def repeats_of_batch(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeats, additions) of a batch: its repeats, and the statements to append to the stored index.
 
-    Of the stored index only groups that the batch touches are read on: a semi-join by group, so that the work
-    follows the batch. A store partitioned or bucketed by ``k1`` lets the scan skip the rest.
+    Of the stored index the keys are scanned, and only groups that the batch touches are read on: a semi-join by group.
+    Lines, texts and comparisons follow the batch.
     """
     rows = statements(batch)
-    fresh = classes(rows).withColumn("accepted", F.lit(False))
-    touched = stored.join(rows.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").withColumn(
-        "accepted", F.lit(True)
-    )
-    group = Window.partitionBy("k1", "k2")
-    links = (
-        touched.unionByName(fresh)
-        .withColumn("new", F.max(~F.col("accepted")).over(group))
-        .filter("new")
-        .withColumn("class", _class(F.col("k1"), F.col("k2"), F.col("line"), F.col("text")))
-        .select("k1", "k2", "line", "text", "batch_id", "finding_id", "class", "accepted")
-        .sortWithinPartitions("k1", "k2", F.col("accepted").desc(), "batch_id", "finding_id")
-        .mapInPandas(_decide, _CLASS_SCHEMA)
-    )
-    members = rows.select(
-        "finding_id", "batch_id", _class(F.col("k1"), F.col("k2"), F.col("line"), F.col("text")).alias("class")
-    )
-    again = _later(members.join(links, "class"))
-    added = classes(rows.join(again.select("finding_id").distinct(), "finding_id", "left_anti"))
-    return again, added
+    again = _batch(stored, rows)
+    return again, _accepted(rows, again)
 
 
-__all__ = ["SameText", "SegmentIndex", "accepted_statements", "edits_within", "repeats", "repeats_of_batch", "statements"]
+__all__ = ["SameText", "SegmentIndex", "accepted_statements", "edits_within", "repeats", "repeats_by_batches", "repeats_of_batch", "statements"]

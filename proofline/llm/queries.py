@@ -15,7 +15,7 @@ QUERIES = {
     "p4_found": lambda s, d: handwritten.not_handwritten(table(s, d, "file_facts"), table(s, d, "repos")).select("file_id"),
     "p4_reasons": lambda s, d: handwritten.not_handwritten(table(s, d, "file_facts"), table(s, d, "repos"))
     .groupBy("reason").agg(F.count("*").alias("files")),
-    "p5_found": lambda s, d: history.repeats(table(s, d, "findings")),
+    "p5_found": lambda s, d: history.repeats_by_batches(table(s, d, "findings")),
     "p6_containers": lambda s, d: packing.containers(table(s, d, "documents"), table(s, d, "context_sizes")),
     "p6_fill": lambda s, d: packing.fill(
         packing.containers(table(s, d, "documents"), table(s, d, "context_sizes")), table(s, d, "context_sizes")

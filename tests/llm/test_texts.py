@@ -83,7 +83,8 @@ def test_repeats_match_brute_force(spark):
     want = _repeats_by_hand(spark, f)
     assert len(want) > 100
     assert {(r.accepted_id, r.finding_id) for r in history.repeats(f).collect()} == want
-    assert history.repeats(f.limit(0)).count() == 0
+    assert {(r.accepted_id, r.finding_id) for r in history.repeats_by_batches(f).collect()} == want
+    assert history.repeats(f.limit(0)).count() == 0 and history.repeats_by_batches(f.limit(0)).count() == 0
     # batch by batch against the stored index gives the same
     stored = history.accepted_statements(f.filter("batch_id = 1"))
     got = {(r.accepted_id, r.finding_id) for r in history.repeats(f.filter("batch_id = 1")).collect()}
