@@ -36,6 +36,25 @@ def ref_summary(edge: str, child: DataFrame, key: str, parent: DataFrame, parent
     )
 
 
+def ref_summaries(child: DataFrame, edges: Sequence[tuple[str, str, DataFrame, str]]) -> DataFrame:
+    """``ref_summary`` of several references (edge, key, parent, parent_key) of one child, which is read once.
+
+    The keys of a row are exploded with their edge and counted together; all parents meet them in one join.
+    """
+    pairs = F.array(*[F.struct(F.lit(e).alias("edge"), F.col(k).cast("string").alias("k")) for e, k, _, _ in edges])
+    claims = child.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("k").isNotNull()).groupBy("edge", "k").agg(F.count("*").alias("n"))
+    facts = None
+    for e, _, parent, pk in edges:
+        one = parent.filter(F.col(pk).isNotNull()).select(F.lit(e).alias("edge"), F.col(pk).cast("string").alias("k"))
+        facts = one if facts is None else facts.unionByName(one)
+    names = child.sparkSession.createDataFrame([(e,) for e, *_ in edges], "edge string")
+    counted = (
+        claims.join(facts.distinct().withColumn("known", F.lit(1)), ["edge", "k"], "left")
+        .groupBy("edge").agg(F.sum("n").alias("checked"), F.sum(F.when(F.col("known").isNull(), F.col("n"))).alias("dangling"))
+    )
+    return names.join(counted, "edge", "left").select("edge", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("checked", "dangling")])
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, before: int, after: int) -> DataFrame:
     """Pairs with equal keys and ``right_at`` within [at - before, at + after], as an equi-join on blocks.
 
@@ -143,5 +162,5 @@ def fold_lines(lines: Column, start: Column, step: Callable[[Column, Column], Co
 
 __all__ = [
     "bag_diff", "band_join", "closure", "first_per", "fold_lines", "islands", "longest_match", "prefixes", "ref_anti",
-    "ref_summary", "span_join", "suffixes",
+    "ref_summaries", "ref_summary", "span_join", "suffixes",
 ]

@@ -24,8 +24,10 @@ EDGES = (
 
 
 def dangling_refs(spark, d):
-    parts = [A.ref_summary(e, table(spark, d, c), k, table(spark, d, p), pk) for e, c, k, p, pk in EDGES]
-    return reduce(DataFrame.unionByName, parts)
+    children: dict[str, list] = {}
+    for e, c, k, p, pk in EDGES:
+        children.setdefault(c, []).append((e, k, table(spark, d, p), pk))
+    return reduce(DataFrame.unionByName, [A.ref_summaries(table(spark, d, c), edges) for c, edges in children.items()])
 
 
 _DANGLING_SQL = " UNION ALL ".join(
