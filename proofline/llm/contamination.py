@@ -249,9 +249,20 @@ def fingerprints(texts: DataFrame, key: str, k: int, w: int) -> DataFrame:
 
 
 def _leaks_by_shuffle(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """As ``leaks``, for a test set too large to send to each executor: fingerprints meet in a join."""
+    """As ``leaks``, for a test set too large to send to each executor: fingerprints meet in a join.
+
+    Lengths of items that do not occur cost no pass over the corpus; an item of fewer than eight words is one gram as
+    long as itself, so that what meets is a case already.
+    """
+    words = fingerprints(tests, "item_id", 1, 1).select(F.least("words", F.lit(MIN_RUN)).alias("n")).distinct()
+    there = {r["n"] for r in words.collect()}  # at most MIN_RUN values
+    tiers = [(MIN_RUN, 1 << 30, GRAM, MIN_RUN - GRAM + 1)] if MIN_RUN in there else []
+    tiers += [(8, MIN_RUN - 1, GRAM, 8 - GRAM + 1)] if there & set(range(8, MIN_RUN)) else []
+    tiers += [(n, n, n, 1) for n in range(1, 8) if n in there]
+    if not tiers:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
     out = None
-    for low, high, k, w in ((MIN_RUN, 1 << 30, GRAM, MIN_RUN - GRAM + 1), (8, MIN_RUN - 1, GRAM, 8 - GRAM + 1), (1, 7, 1, 1)):
+    for low, high, k, w in tiers:
         mine = fingerprints(tests, "item_id", k, w).filter(F.col("words").between(low, high))
         hits = (
             fingerprints(docs, "doc_id", k, w)
