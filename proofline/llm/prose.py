@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the training sample; which documents are in it is decided by a hash of their id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 12_000
 #: Weak labels: share of characters in sentences from which a document is clearly prose, or clearly not.
 CLEAR_PROSE, CLEAR_JUNK = 0.85, 0.15
 #: Weight of the prior (the trees' own probability) in the calibration, which has few points.
