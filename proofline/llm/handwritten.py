@@ -58,7 +58,8 @@ _OUTPUT_NAME = re.compile(
     re.I,
 )
 
-_COMMENT_TEXT = re.compile(r"^\s*(?:#+!?|//+[!#@]?|/\*+!?|\*+|--|\"\"\"|''')\s*(.*?)\s*(?:\*/|\"\"\")?\s*$")
+_COMMENT_OPEN = re.compile(r"\s*+(?:#+!?|//+[!#@]?|/\*+!?|\*+|--|\"\"\"|''')\s*+")
+_COMMENT_CLOSE = re.compile(r"(?:\*/|\"\"\")\Z")
 _COMMENT_SIGNS = tuple("#/*-\"'")
 _GENERATED = re.compile(
     r"^(?:(?:the |this )?(?:code|file|source|module|document|content|script)s? (?:(?:is|was|has been) )?)?"
@@ -70,7 +71,7 @@ _GENERATED = re.compile(
     r"|\b(?:changes|edits) (?:will|may) be (?:lost|overwritten)",
     re.I,
 )
-_NOT_GENERATED = re.compile(r"\bnot (?:\w+ )?(?:auto-?)?generated\b|\bedit (?:it )?by hand\b.*\bplease\b|\bplease,? edit\b", re.I)
+_NOT_GENERATED = re.compile(r"\bnot (?:\w+ )?(?:auto-?)?generated\b|^(?>.*?\bedit (?:it )?by hand\b).*\bplease\b|\bplease,? edit\b", re.I)
 _NAME = r"@?[A-Za-z][\w.-]*(?:/[\w.-]+)?"
 _VERSION = r"v?\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?"
 _OTHER_PROJECT = re.compile(
@@ -87,12 +88,18 @@ _ANYWHERE = re.compile(r"^(?:code generated .*\bdo not edit\b|@generated\b|<auto
 _ANYWHERE_HINT = re.compile(r"[Gg][Ee][Nn][Ee][Rr][Aa][Tt][Ee][Dd]")
 
 
+def _comment_text(line: str) -> str | None:
+    """What a comment that begins the line says, without its signs."""
+    m = _COMMENT_OPEN.match(line)
+    return _COMMENT_CLOSE.sub("", line[m.end():].rstrip()).rstrip() if m else None
+
+
 def _comment(line: str, block: bool = False) -> str | None:
     """The text of a comment that begins the line (``block``: that the line continues), without the code after it."""
     if block or line.lstrip().startswith("/*"):
         line = line.split("*/", 1)[0]
-    m = _COMMENT_TEXT.match(line) if line.lstrip()[:1] in _COMMENT_SIGNS else None
-    return m[1] if m else line.strip() if block else None
+    text = _comment_text(line) if line.lstrip()[:1] in _COMMENT_SIGNS else None
+    return line.strip() if text is None and block else text
 
 
 def _head(lines: list[str]) -> Iterator[str]:
@@ -161,10 +168,18 @@ FEATURES = (
 #: Comments that begin a line: what stands above minified code says nothing about its layout.
 _HEAD_COMMENT = re.compile(r"^[ \t]*(?://[^\n]*|/\*[\s\S]*?(?:\*/|\Z))", re.M)
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
-_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?m:^\s*#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|elif|pragma|undef)\b)[^\n]*)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)")
+#: Blank lines that lead to no comment are matched as ``blank``, so that each is read once; they are none.
+_COMMENT = re.compile(
+    r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+    r"|(?m:^\s*+#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|elif|pragma|undef)\b)[^\n]*)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)"
+    r"|(?P<blank>(?m:^[^\S\n]*+\n\s*+))"
+)
+#: Literals one after the other. A number ends at its last character, or before what only then can be read: the last digit
+#: of a hexadecimal one before a point, a further ``0x``, ``false`` after a suffix.
 _LITERAL_LINE = re.compile(
-    r"\s*(?:[-+]?(?:0x[\da-fA-F]+|\d[\d.eE_]*)[uUlLfF]*|\"[^\"\s]*\"|'[^'\s]*'|null|true|false|None|True|False|nil|NULL"
-    r"|[\[\]{}(),:;\s])+$"
+    r"(?:[-+]?+(?:0x[\da-fA-F]+(?=\d[eE]*[._]|0x[\da-fA-F]|[fF]alse)|\d[\d.eE_]*(?=0x[\da-fA-F])"
+    r"|(?:0x[\da-fA-F]++|\d[\d.eE_]*+)(?:[uUlLfF]*(?=[fF]alse)|[uUlLfF]*+))"
+    r"|\"[^\"\s]*+\"|'[^'\s]*+'|null|true|false|None|True|False|nil|NULL|[\[\]{}(),:;\s])++$"
 )
 _BLOB = re.compile(r"[\"'`][^\"'`\s]{120,}[\"'`]")
 
@@ -173,7 +188,7 @@ def features(lines: list[str]) -> list[float]:
     """Statistics of a file without its notices."""
     text = "\n".join(
         x for x in lines
-        if not (x.lstrip()[:1] in _COMMENT_SIGNS and len(x) < 300 and (m := _COMMENT_TEXT.match(x)) and (_GENERATED.search(m[1]) or _OTHER_PROJECT.match(m[1])))
+        if not (x.lstrip()[:1] in _COMMENT_SIGNS and len(x) < 300 and (t := _comment_text(x)) and (_GENERATED.search(t) or _OTHER_PROJECT.match(t)))
     )
     size = len(text)
     if not text.strip():
@@ -195,7 +210,7 @@ def features(lines: list[str]) -> list[float]:
         -sum(c / n * math.log2(c / n) for c in tokens.values()) / max(1.0, math.log2(n)),
         sum(len(t) * c for t, c in idents) / k,
         sum(c for t, c in idents if len(t) <= 2) / k,
-        sum(len(m) for m in _COMMENT.findall(text)) / size,
+        sum(len(m[0]) for m in _COMMENT.finditer(text) if m["blank"] is None) / size,
         math.log1p(size / len(full)),
         math.log1p(max(map(len, full))),
         literal / sum(len(x) + 1 for x in full),
@@ -242,13 +257,13 @@ def _sampled(files: DataFrame, rows: int) -> DataFrame:
 # Made positives
 
 
-_SPACE_BETWEEN = re.compile(r"\s*([^\w\s$\"'])\s*")
+_SPACE_BETWEEN = re.compile(r"(?:(?<!\s)\s++)?+([^\w\s$\"'])\s*+")
 _MADE_NAME = re.compile(r"[\"'`][^\"'`\n]*[\"'`]|(?<![\w.$])[A-Za-z_$][\w$]{2,}")
 
 
 def minified(lines: list[str], rng: random.Random) -> list[str]:
     """The code on one line, or on few long ones, without comments and needless blanks, local names shortened."""
-    code = _COMMENT.sub("", "\n".join(lines))
+    code = _COMMENT.sub(lambda m: m["blank"] or "", "\n".join(lines))
     short: dict[str, str] = {}
 
     def rename(m: re.Match) -> str:

@@ -1,6 +1,8 @@
 """Problems 4 to 8 against brute force, held-out texts and invariants."""
 
+import contextlib
 import random
+import signal
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +185,43 @@ def test_notice_inside_and_on_long_lines():
     assert handwritten.notice(["// Code generated by maker. DO NOT EDIT. " + "Long. " * 80], None) == "generated"
 
 
+@contextlib.contextmanager
+def _within(seconds):
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(seconds)
+    try:
+        yield
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+@pytest.mark.parametrize("lines", [
+    ["  " + "128, " * 40 + "// sizes"], ["1" * 400 + "n"], ["0x11,0x95," * 90 + "f(x)"], ["0x1111. " * 200 + "!"], ["zone:1", '{"a":{"size":129,"t":102},' * 30 + "x"],
+    [""] * 60_000 + ["x"], ["  "] * 60_000 + ["#include <a>"], ["a" + " " * 90_000 + "b"], ["# a" + " " * 9_000 + "b"], ["# do not edit. " + "edit by hand " * 15_000],
+])
+def test_looks_take_time_in_proportion_to_the_text(lines):
+    with _within(10):
+        assert len(handwritten.features(lines)) == len(handwritten.FEATURES)
+        handwritten.notice(lines, None)
+        handwritten.minified(lines, random.Random(1))
+
+
+def test_lines_of_literals():
+    literal = ["1, 2, 3,", "0x1F, -2.5e-3f, 7UL", '"a", \'b\'; null', "10xFF", "0x12.5", "1false", "0x1uFalse", "0xffalse", "0x10x5", "  [", "1_000 true"]
+    other = ["1, 2, x", "0x", "0x1_2", "0xfalse", "1alse", '"a b"', "12 // two", "- 1", "f", "nul", ""]
+    assert [x for x in literal if not handwritten._LITERAL_LINE.match(x)] == [x for x in other if handwritten._LITERAL_LINE.match(x)] == []
+
+
+def test_blank_lines_are_no_comments():
+    found = lambda text: [m[0] for m in handwritten._COMMENT.finditer(text) if m["blank"] is None]
+    assert found("a\n\n  # x\n\n\n#include\n // y") == ["\n  # x", "// y"]
+    assert handwritten._comment_text(" /* a  */  ") == "a" and handwritten._comment_text("a") is None and handwritten._comment_text("#") == ""
+
+
 def test_prose_statistics_and_holdout(spark):
     assert [t for label, t in prose.HOLDOUT if (prose.sentence_share(t) < 0.5) != bool(label)] == []
     s = prose.statistics("One two, three.\n\n- four")
